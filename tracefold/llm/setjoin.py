@@ -49,6 +49,7 @@ PERCENT = 80
 SKETCH_BITS = 20
 BLOCK_BITS = 14
 ID_BITS = 23
+TOKEN_BITS = 26
 #: index lists up to this length are gathered by a window (the sketch proves the bound)
 SHORT_LIST = 4096
 #: a list's remaining members are paired at once up to this many; beyond, in blocks of so many hubs
@@ -124,45 +125,87 @@ def prefix_length(n: int) -> int:
     return n - -(-PERCENT * n // 100) + 1 if n else 0
 
 
-def _prefixes(docs: DataFrame, sketch: bytes) -> DataFrame:
-    """(doc_id, key, n, prefix, hot): the rarest shingles of every set, in order; hot: how many of them may be in long lists."""
+def _prefix(s: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A set's prefix, rarest shingles first, and which of it may be in long lists."""
+    c = counts[_slots(s)]
+    order = np.argsort(c, kind="stable")[: prefix_length(len(s))]
+    return s[order], c[order] > SHORT_LIST
+
+
+def _shared_bits(docs: DataFrame, sketch: bytes) -> bytes:
+    """Bit table of the prefix shingles that two documents or more have.
+
+    Only the shingles themselves are shuffled.  The table has 2**TOKEN_BITS
+    bits whatever the input; a fuller one lets more postings through.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.frombuffer(shared.value, np.uint32)
         for b in batches:
-            sizes, keys, flat_prefix, ends, cold = [], [], [], [0], []
-            for s in shingle_sets(b.column(1)):
-                sizes.append(len(s))
-                keys.append(_key(s) if len(s) else None)
-                c = counts[_slots(s)]
-                order = np.argsort(c, kind="stable")[: prefix_length(len(s))]
-                cold.append(int((c[order] <= SHORT_LIST).sum()))
-                flat_prefix.append(s[order].view(np.int64))
-                ends.append(ends[-1] + len(order))
-            values = np.concatenate(flat_prefix) if flat_prefix else np.zeros(0, np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), lists, pa.array(cold, pa.int32())], ["doc_id", "key", "n", "prefix", "cold"])
+            held = [_prefix(s, counts)[0] for s in shingle_sets(b.column(0)) if len(s)]
+            toks = np.concatenate(held).view(np.int64) if held else np.zeros(0, np.int64)
+            for lo in range(0, len(toks), 1 << 17):
+                yield pa.RecordBatch.from_arrays([pa.array(toks[lo : lo + (1 << 17)])], ["tok"])
 
-    return docs.mapInArrow(scan, "doc_id bigint, key binary, n int, prefix array<bigint>, cold int").filter("n > 0 AND doc_id is not null")
+    toks = docs.select("text").mapInArrow(scan, "tok bigint").groupBy("tok").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    return _bit_table(toks, F.col("tok"), TOKEN_BITS)
 
 
-def _index_lists(prefixes: DataFrame) -> DataFrame:
-    """(tok, cls, n, pos) of every prefix shingle that two classes or more share, one list for each set of members."""
-    classes = prefixes.groupBy("key").agg(F.min("doc_id").alias("cls"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("cold").alias("cold"))
-    posts = classes.select("cls", "n", "cold", F.posexplode("prefix").alias("pos", "tok"))
-    short = posts.filter("pos < cold").select("tok", "cls", "n", "pos")
-    short = short.withColumn("_m", F.count(F.lit(1)).over(Window.partitionBy("tok"))).filter("_m > 1").drop("_m")
-    return short.unionByName(_long_lists(prefixes))
+def _bit_table(rows: DataFrame, key: Column, size: int) -> bytes:
+    """2**size bits, one set for each key; at most 2**size / 64 rows come to the driver."""
+    slot = F.pmod(key, F.lit(1 << size))
+    words = rows.select(slot.alias("slot")).groupBy(F.floor(F.col("slot") / 64).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("bits")).toArrow()
+    bits = np.zeros(1 << (size - 6), np.int64)
+    bits[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return bits.tobytes()
 
 
-def _long_lists(prefixes: DataFrame) -> DataFrame:
-    """Lists that the sketch does not prove short: counted with map-side sums, then joined."""
-    hot = prefixes.filter("cold < size(prefix)")
-    classes = hot.groupBy("key").agg(F.min("doc_id").alias("cls"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("cold").alias("cold"))
-    posts = classes.select("cls", "n", "cold", F.posexplode("prefix").alias("pos", "tok")).filter("pos >= cold").select("tok", "cls", "n", "pos")
-    many = posts.groupBy("tok").agg(F.count(F.lit(1)).alias("_m")).filter("_m > 1").select("tok")
-    return posts.join(many, "tok")
+def _lookup(table_: bytes, slot: np.ndarray) -> np.ndarray:
+    byte = np.frombuffer(table_, np.uint8)[slot >> 3]
+    return (byte >> (slot & 7).astype(np.uint8)) & 1 == 1
+
+
+def _postings(docs: DataFrame, sketch: bytes, bits: bytes) -> DataFrame:
+    """(tok, cls, n, pos, hot): prefix shingles that may be shared, one document for each set."""
+    shared = docs.sparkSession.sparkContext.broadcast((sketch, bits))
+    kind = pa.list_(pa.struct([("tok", pa.int64()), ("pos", pa.int32()), ("hot", pa.bool_())]))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, table_ = np.frombuffer(shared.value[0], np.uint32), shared.value[1]
+        for b in batches:
+            rows, sizes, keys, ends, toks, poss, hots = [], [], [], [0], [], [], []
+            for i, s in enumerate(shingle_sets(b.column(1))):
+                tok, hot = _prefix(s, counts)
+                pos = np.flatnonzero(_lookup(table_, (tok & np.uint64((1 << TOKEN_BITS) - 1)).astype(np.int64)))
+                if len(pos):
+                    rows.append(i)
+                    sizes.append(len(s))
+                    keys.append(_key(s))
+                    ends.append(ends[-1] + len(pos))
+                    toks.append(tok[pos].view(np.int64))
+                    poss.append(pos.astype(np.int32))
+                    hots.append(hot[pos])
+            cat = lambda x, t: pa.array(np.concatenate(x) if x else np.zeros(0, t))
+            inner = pa.StructArray.from_arrays([cat(toks, np.int64), cat(poss, np.int32), cat(hots, bool)], fields=list(kind.value_type))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), inner)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), lists], ["doc_id", "key", "n", "posts"])
+
+    rows = docs.filter("doc_id is not null").mapInArrow(scan, "doc_id bigint, key binary, n int, posts array<struct<tok:bigint,pos:int,hot:boolean>>")
+    classes = rows.groupBy("key").agg(F.min("doc_id").alias("cls"), F.first("n").alias("n"), F.first("posts").alias("posts"))
+    return classes.select("cls", "n", F.explode("posts").alias("p")).select("p.tok", "cls", "n", "p.pos", "p.hot")
+
+
+def _index_lists(posts: DataFrame) -> DataFrame:
+    """(tok, cls, n, pos) of every prefix shingle that two classes or more share.
+
+    Lists that the sketch proves short are found by a window over the shingle;
+    the others by a count with map-side sums and a join.
+    """
+    short = posts.filter("not hot").drop("hot").withColumn("_m", F.count(F.lit(1)).over(Window.partitionBy("tok"))).filter("_m > 1").drop("_m")
+    long = posts.filter("hot").drop("hot")
+    many = long.groupBy("tok").agg(F.count(F.lit(1)).alias("_m")).filter("_m > 1").select("tok")
+    return short.unionByName(long.join(many, "tok"))
 
 
 def _distinct_lists(lists: DataFrame) -> DataFrame:
@@ -175,18 +218,12 @@ def _distinct_lists(lists: DataFrame) -> DataFrame:
 
 def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(cls, shingles) of the given documents: found by a bit table of their ids first, by a join then."""
-    word = F.floor(F.pmod(F.xxhash64("cls"), F.lit(1 << ID_BITS)) / 64)
-    bit = F.expr(f"shiftleft(1L, cast(pmod(xxhash64(cls), {1 << ID_BITS}) % 64 as int))")
-    bits = np.zeros(1 << (ID_BITS - 6), np.int64)
-    for r in ids.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")).collect():
-        bits[r["word"]] = r["bits"]
-    shared = docs.sparkSession.sparkContext.broadcast(bits.tobytes())
+    shared = docs.sparkSession.sparkContext.broadcast(_bit_table(ids, F.xxhash64("cls"), ID_BITS))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table_ = np.unpackbits(np.frombuffer(shared.value, np.uint8), bitorder="little").view(bool)
         for b in batches:
             slot = np.asarray(b.column(2).to_numpy(zero_copy_only=False), np.int64)
-            pick = pa.array(np.flatnonzero(table_[slot]))
+            pick = pa.array(np.flatnonzero(_lookup(shared.value, slot)))
             values, ends = [], [0]
             for s in shingle_sets(b.column(1).take(pick)):
                 values.append(s.view(np.int64))
@@ -244,9 +281,10 @@ def _relabel(lists: DataFrame, comps: DataFrame) -> DataFrame:
     return lists.drop("comp").join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
 
 
-def class_links(docs: DataFrame, prefixes: DataFrame) -> DataFrame | None:
+def class_links(docs: DataFrame, sketch: bytes) -> DataFrame | None:
     """(cls, comp) of the classes with links; None if no two classes share a prefix shingle."""
-    lists = materialize(_index_lists(prefixes), "set-lists")
+    posts = materialize(_postings(docs, sketch, _shared_bits(docs, sketch)), "set-postings")
+    lists = materialize(_index_lists(posts), "set-lists")
     live = materialize(_distinct_lists(lists).withColumn("comp", F.col("cls")), "set-lists")
     if live.isEmpty():
         return None
@@ -309,7 +347,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     first = materialize(_first_pass(docs), "set-sizes")
     sketch = _sketch(first)
-    comps = class_links(docs, _prefixes(docs, sketch))
+    comps = class_links(docs, sketch)
     rows = first.filter("block is null").select("doc_id", "n", "key")
     classes = rows.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("cls"))
     if comps is not None:
