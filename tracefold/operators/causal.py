@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
+from ..sources.tables import written
 
 _EVENT = ["event_id", "ts", "kind", "node", "name", "value", "level", "rank"]
 
@@ -100,9 +101,9 @@ def pagerank_blend(pairs: DataFrame, events: DataFrame, alpha: float = 0.85, ste
 
 def causal_chain(events: DataFrame, edges: DataFrame, keep: int = 5, deep: bool = False) -> DataFrame:
     """Graph pairs, then rules on the other pairs; deep adds transitive edges and the walk."""
-    graph = graph_pairs(events, edges)
+    graph = written(graph_pairs(events, edges), "graph-pairs")
     rules = rule_pairs(events, edges).join(graph.select("incident_id", "cause", "effect"), ["incident_id", "cause", "effect"], "left_anti")
-    chain = graph.unionByName(rules)
+    chain = written(graph.unionByName(rules), "causes")
     if deep:
         chain = pagerank_blend(chain.unionByName(transitive(chain)), events)
     w = Window.partitionBy("incident_id").orderBy(F.desc("confidence"), "cause", "effect")

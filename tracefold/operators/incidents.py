@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
+from ..sources.tables import written
 
 
 def window_events(scope: DataFrame, events: DataFrame, before_min: int, after_min: int, step_min: int = 60) -> DataFrame:
@@ -18,7 +19,7 @@ def window_events(scope: DataFrame, events: DataFrame, before_min: int, after_mi
     sec = lambda c: F.unix_seconds(c.cast("timestamp"))
     lo, hi = sec(F.col("sig_ts")) - before_min * 60, sec(F.col("sig_ts")) + after_min * 60
     cut = scope.withColumn("_b", F.explode(F.sequence(F.floor(lo / step), F.floor(hi / step))))
-    keyed = events.withColumn("_b", F.floor(sec(F.col("ts")) / step))
+    keyed = events.drop(*[c for c in scope.columns if c != "node"]).withColumn("_b", F.floor(sec(F.col("ts")) / step))
     gap = X.minutes(F.col("ts"), F.col("sig_ts"))
     return cut.join(keyed.filter("node is not null"), ["node", "_b"]).withColumn("rel_min", gap).filter((F.col("rel_min") >= -before_min) & (F.col("rel_min") <= after_min)).drop("_b")
 
@@ -56,13 +57,13 @@ def pair_scores(prints: DataFrame) -> DataFrame:
     codes = codes.withColumn("code", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("el")) + 255)
     one = F.expr("decode(unhex(lpad(hex(code), 4, '0')), 'UTF-16BE')")
     text = seq.join(codes.withColumn("ch", one), "el").groupBy("fp_hash").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "ch"))), lambda x: x.ch), "").alias("s"))
-    info = sizes.join(text, "fp_hash")
+    info = written(sizes.join(text, "fp_hash"), "coded")
     ia, ib = info.select(F.col("fp_hash").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa")), info.select(F.col("fp_hash").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb"))
     full = shared.join(ia, "a").join(ib, "b").withColumn("distance", F.levenshtein("sa", "sb"))
     jac = F.col("inter") / (F.col("na") + F.col("nb") - F.col("inter"))
     near = F.greatest(F.lit(0.0), F.lit(1.0) - F.col("distance") / F.greatest("na", "nb"))
     sim = F.least(F.lit(1.0), F.lit(0.75) * jac + F.lit(0.25) * near)
-    return full.select("a", "b", jac.alias("jaccard"), "distance", sim.alias("similarity"))
+    return written(full.select("a", "b", jac.alias("jaccard"), "distance", sim.alias("similarity")), "scores")
 
 
 def similar_incidents(prints: DataFrame, scores: DataFrame, k: int = 5) -> DataFrame:

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+MAX_FOLDED = 10_000
+
 
 def name_map(topology: DataFrame, names: DataFrame) -> DataFrame:
     """(name, node, canonical): ``node`` is the first name of a chain of renames, ``canonical`` the last.
@@ -21,13 +23,36 @@ def name_map(topology: DataFrame, names: DataFrame) -> DataFrame:
     renames = topology.filter("change = 'rename'").filter("src <> dst")
     back = renames.groupBy(F.col("dst").alias("name")).agg(F.min_by("src", "seq").alias("up"))
     on = renames.groupBy(F.col("src").alias("name")).agg(F.max_by("dst", "seq").alias("down"))
-    every = names.select("name").unionByName(renames.select(F.col("src").alias("name"))).unionByName(renames.select(F.col("dst").alias("name"))).filter("name is not null").distinct()
-    pairs = every.join(back, "name", "left").join(on, "name", "left")
-    pairs = pairs.select("name", F.coalesce("up", "name").alias("up"), F.coalesce("down", "name").alias("down"))
-    for _ in range(5):  # chains of up to 32 renames
+    both = back.join(on, "name", "full").select("name", F.coalesce("up", "name").alias("up"), F.coalesce("down", "name").alias("down"))
+    ends = _ends(both)
+    seen = names.select("name").filter("name is not null").distinct().join(ends, "name", "full")
+    return seen.select("name", F.coalesce("node", "name").alias("node"), F.coalesce("canonical", "name").alias("canonical"))
+
+
+def _ends(both: DataFrame) -> DataFrame:
+    """(name, node, canonical): both ends of each chain of renames.
+
+    A log of at most MAX_FOLDED names is folded on the driver; a longer one in
+    doubling steps, each cut off by a checkpoint.
+    """
+    few = both.limit(MAX_FOLDED + 1).collect()
+    if len(few) <= MAX_FOLDED:
+        up, down = {r["name"]: r["up"] for r in few}, {r["name"]: r["down"] for r in few}
+
+        def end(name: str, step: dict[str, str]) -> str:
+            passed = {name}
+            while step.get(name, name) not in passed:
+                name = step[name]
+                passed.add(name)
+            return name
+
+        rows = [(n, end(n, up), end(n, down)) for n in up]
+        return both.sparkSession.createDataFrame(rows, "name string, node string, canonical string")
+    pairs = both.checkpoint()
+    for _ in range(MAX_FOLDED.bit_length()):
         ups = pairs.select(F.col("name").alias("up"), F.col("up").alias("_u"))
         downs = pairs.select(F.col("name").alias("down"), F.col("down").alias("_d"))
-        pairs = pairs.join(ups, "up", "left").join(downs, "down", "left").select("name", F.coalesce("_u", "up").alias("up"), F.coalesce("_d", "down").alias("down"))
+        pairs = pairs.join(ups, "up", "left").join(downs, "down", "left").select("name", F.coalesce("_u", "up").alias("up"), F.coalesce("_d", "down").alias("down")).checkpoint()
     return pairs.select("name", F.col("up").alias("node"), F.col("down").alias("canonical"))
 
 

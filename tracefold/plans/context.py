@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as X
 from ..operators import causal, events, incidents, remediation, topology
+from ..sources.tables import written
 
 
 @dataclass(frozen=True)
@@ -38,21 +39,21 @@ class Telemetry:
 
     @classmethod
     def of(cls, raw: DataFrame, log: DataFrame) -> Telemetry:
-        names = topology.name_map(log, raw.select(F.col("service").alias("name")))
+        names = written(topology.name_map(log, raw.select(F.col("service").alias("name"))), "names")
         ev = topology.resolve(events.without_background(raw), names)
         sig = ev.filter("kind = 'incident_signal'").select("incident_id", F.col("ts").alias("sig_ts"), "trigger", "service", "node", F.col("node").alias("trigger_node"), "event_id")
-        return cls(ev, sig, names, topology.edge_intervals(log, names))
+        return cls(ev, sig, names, written(topology.edge_intervals(log, names), "edges"))
 
 
 def related(t: Telemetry, mode: Mode) -> DataFrame:
     scope = topology.neighbourhood(t.signals, t.edges, mode.hops)
-    return causal.ranked(incidents.window_events(scope, t.events, mode.before_min, mode.after_min), mode.max_events)
+    return written(causal.ranked(incidents.window_events(scope, t.events, mode.before_min, mode.after_min), mode.max_events), "related")
 
 
 def prints(t: Telemetry, before_min: int, after_min: int, hops: int, bucket_min: int) -> DataFrame:
     scope = topology.neighbourhood(t.signals, t.edges, hops)
     seen = incidents.window_events(scope, events.behaviour(t.events), before_min, after_min)
-    return incidents.fingerprints(incidents.fingerprint_elements(seen, bucket_min))
+    return written(incidents.fingerprints(incidents.fingerprint_elements(seen, bucket_min)), "fingerprints")
 
 
 def contexts(t: Telemetry, mode: Mode = FAST) -> DataFrame:
@@ -60,16 +61,17 @@ def contexts(t: Telemetry, mode: Mode = FAST) -> DataFrame:
     rel = related(t, mode)
     fp = prints(t, mode.before_min, mode.after_min, mode.hops, mode.bucket_min)
     scores = incidents.pair_scores(fp)
-    matches = incidents.similar_incidents(fp, scores, mode.matches)
-    quiet = incidents.abstentions(fp, matches).filter("abstain").select("incident_id")
+    matches = written(incidents.similar_incidents(fp, scores, mode.matches), "matches")
+    quiet = written(incidents.abstentions(fp, matches).filter("abstain").select("incident_id"), "abstained")
     matches = matches.join(quiet, "incident_id", "left_anti")
-    chain = causal.causal_chain(rel, t.edges, mode.causal, mode.deep)
+    chain = written(causal.causal_chain(rel, t.edges, mode.causal, mode.deep), "chains")
     rem = topology_remediations(t)
     sig = t.signals.select("incident_id", "sig_ts", "node")
     found = [remediation.by_incident(matches.join(sig.select("incident_id", "sig_ts"), "incident_id"), rem), remediation.by_target(sig, rem)]
     if mode.deep:
         found.append(remediation.neighbours(sig, t.edges, rem))
     tips = remediation.suggest(*found).join(quiet, "incident_id", "left_anti")
+    tips = written(tips, "tips")
     pack = lambda df, name, *cols: df.groupBy("incident_id").agg(F.sort_array(F.collect_list(F.struct(*cols))).alias(name))
     why = X.rationale(F.col("similarity"), F.col("same_service"), F.lit(None).cast("string")).alias("rationale")
     parts = [

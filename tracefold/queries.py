@@ -255,7 +255,7 @@ nm AS (SELECT src AS name, src AS node, CASE WHEN i % 2 = 0 THEN src || '-r2-r3'
        UNION ALL SELECT src || '-r2', src, src || '-r2-r3' FROM n12 WHERE i % 2 = 0 UNION ALL SELECT src || '-r2-r3', src, src || '-r2-r3' FROM n12 WHERE i % 2 = 0),
 both_ AS (SELECT src AS a, dst AS b, 1 AS dir, valid_from, valid_to FROM edge UNION ALL SELECT dst, src, 2, valid_from, valid_to FROM edge),
 h0 AS (SELECT incident_id, sig_ts, trigger_node, trigger_node AS node, 0 AS hop, 0 AS dir FROM sig),
-h1 AS (SELECT incident_id, sig_ts, trigger_node, b AS node, 1 AS hop, min(dir) AS dir FROM h0 JOIN both_ ON node = a AND valid_from <= sig_ts AND (valid_to IS NULL OR valid_to > sig_ts)
+h1 AS (SELECT incident_id, sig_ts, trigger_node, b AS node, 1 AS hop, min(both_.dir) AS dir FROM h0 JOIN both_ ON node = a AND valid_from <= sig_ts AND (valid_to IS NULL OR valid_to > sig_ts)
        WHERE b <> trigger_node GROUP BY ALL),
 h01 AS (SELECT * FROM h0 UNION ALL SELECT * FROM h1),
 h2 AS (SELECT h1.incident_id, h1.sig_ts, h1.trigger_node, b AS node, 2 AS hop, min(both_.dir) AS dir FROM h1 JOIN both_ ON node = a AND valid_from <= sig_ts AND (valid_to IS NULL OR valid_to > sig_ts)
