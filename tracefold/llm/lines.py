@@ -42,31 +42,42 @@ MASKED = r"[^\x20\x09-\x0D0-9]*[0-9][^\x20\x09-\x0D]*"
 BLANKS = r"[\x20\x09\x0B-\x0D]+"
 
 
-def _lines(text: Column) -> Column:
-    """Masked, blank-normalised lines of a text."""
-    masked = F.regexp_replace(text, MASKED, "<*>")
-    return F.transform(F.split(masked, "\n"), lambda x: F.trim(F.regexp_replace(x, BLANKS, " ")))
+def _masked(line: Column) -> Column:
+    """A line with masked tokens and single blanks; most lines need neither expression."""
+    masked = F.when(line.rlike("[0-9]"), F.regexp_replace(line, MASKED, "<*>")).otherwise(line)
+    return F.trim(F.when(masked.rlike(r"[\x09\x0B-\x0D]|  "), F.regexp_replace(masked, BLANKS, " ")).otherwise(masked))
 
 
-def _tokens(line: Column) -> Column:
-    return F.split(line, " ")
+def _count(line: Column) -> Column:
+    """Tokens of a masked line."""
+    return (F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1).cast("int")
 
 
 def _template(line: Column) -> Column:
     """Hash of a masked line; null for lines too short to be a template."""
-    return F.when(F.size(_tokens(line)) >= MIN_TOKENS, F.xxhash64(line))
+    return F.when(_count(line) >= MIN_TOKENS, F.xxhash64(line))
 
 
-def _leaf(tokens: Column) -> Column:
-    return F.xxhash64(F.size(tokens), F.array_join(F.slice(tokens, 1, DEPTH), " "))
+def _leaf(line: Column) -> Column:
+    return F.xxhash64(_count(line), F.substring_index(line, " ", DEPTH))
+
+
+def _exploded(docs: DataFrame) -> DataFrame:
+    """(k, line): the masked lines of every text.
+
+    Masking happens inside the arrays that are exploded: filters and joins on
+    what follows cannot make Spark evaluate its patterns again.
+    """
+    digits = lambda x: F.when(x.rlike("[0-9]"), F.regexp_replace(x, MASKED, "<*>")).otherwise(x)
+    blanks = lambda x: F.when(x.rlike(r"[\x09\x0B-\x0D]|  "), F.regexp_replace(x, BLANKS, " ")).otherwise(x)
+    masked = F.transform(F.transform(F.split("text", "\n"), digits), blanks)
+    return docs.select(F.xxhash64("text").alias("k"), F.explode(masked).alias("line")).select("k", F.trim("line").alias("line"))
 
 
 def _occurrences(docs: DataFrame) -> DataFrame:
     """(text key, template, leaf, tokens) for each distinct template of each distinct text."""
-    lines = docs.select(F.xxhash64("text").alias("k"), F.explode(F.array_distinct(_lines(F.col("text")))).alias("line"))
-    rows = lines.withColumn("tok", _tokens(F.col("line"))).filter(F.size("tok") >= MIN_TOKENS)
-    rows = rows.select("k", F.xxhash64("line").alias("t"), _leaf(F.col("tok")).alias("leaf"), F.size("tok").alias("n"))
-    return rows.groupBy("k", "t").agg(F.first("leaf").alias("leaf"), F.first("n").alias("n"))
+    rows = _exploded(docs).select("k", F.xxhash64("line").alias("t"), _leaf(F.col("line")).alias("leaf"), _count(F.col("line")).alias("n"))
+    return rows.groupBy("k", "t").agg(F.first("leaf").alias("leaf"), F.first("n").alias("n")).filter(f"n >= {MIN_TOKENS}")
 
 
 def _slot(leaf: Column) -> Column:
@@ -89,15 +100,15 @@ def _generalised(docs: DataFrame, counts: DataFrame) -> DataFrame:
     leaves = counts.groupBy("leaf").agg(F.count(F.lit(1)).alias("_n"), F.sum("df").alias("_df")).filter(f"_n > 1 AND _df >= {MIN_DOCS}").select("leaf")
     leaves = materialize(leaves, "line-leaves")
     bits = F.broadcast(_bits(leaves))
-    lines = docs.select(F.explode(F.array_distinct(_lines(F.col("text")))).alias("line")).withColumn("tok", _tokens(F.col("line"))).filter(F.size("tok") >= MIN_TOKENS)
-    lines = lines.withColumn("leaf", _leaf(F.col("tok"))).withColumn("word", F.floor(_slot(F.col("leaf")) / 64))
+    lines = _exploded(docs).select("line", _leaf(F.col("line")).alias("leaf"))
+    lines = lines.withColumn("word", F.floor(_slot(F.col("leaf")) / 64))
     near = lines.join(bits, "word").filter("getbit(bits, cast(pmod(leaf, 64) as int)) = 1")
     near = near.select("leaf", F.xxhash64("line").alias("t"), "line").groupBy("leaf", "t").agg(F.first("line").alias("line"))
-    near = near.join(leaves, "leaf", "left_semi").join(counts.select("t", "df"), "t")
-    fields = near.select("leaf", "t", "df", F.posexplode(_tokens(F.col("line"))).alias("pos", "token"))
+    near = materialize(near.join(leaves, "leaf", "left_semi").join(counts.select("t", "df"), "t"), "line-near")
+    fields = near.select("leaf", "t", "df", F.posexplode(F.split("line", " ")).alias("pos", "token"))
     fixed = fields.groupBy("leaf", "pos", "token").agg(F.sum("df").alias("_df")).filter(f"_df >= {MIN_DOCS}").drop("_df")
     kept = fields.join(fixed, ["leaf", "pos", "token"]).groupBy("leaf", "t").agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("kept"))
-    sizes = near.select("t", F.size(_tokens(F.col("line"))).alias("n"))
+    sizes = near.select("t", _count(F.col("line")).alias("n"))
     wide = kept.join(sizes, "t").filter((F.size("kept") < F.col("n")) & (F.size("kept") >= F.lit(MIN_FIXED) * F.col("n")) & (F.size("kept") >= MIN_TOKENS))
     return wide.select("t", F.xxhash64("leaf", F.to_json("kept")).alias("g"))
 
@@ -127,14 +138,13 @@ def drop_templates(docs: DataFrame, text: str = "text") -> DataFrame:
     hits, gone = dropped_templates(plain)
     bad = hits.join(gone, "g", "left_semi").groupBy("k").agg(F.collect_set("t").alias("_bad"))
     keyed = docs.withColumn("_k", F.xxhash64(F.col(text)))
-    joined = keyed.join(bad, keyed["_k"] == bad["k"], "left").drop("k", "_k")
-    raw = F.split(F.col(text), "\n")
-    lines = F.arrays_zip(raw.alias("raw"), _lines(F.col(text)).alias("masked"))
-    stays = F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("_bad"), _template(x.masked)), F.lit(False)))
-    left = F.array_join(F.transform(stays, lambda x: x.raw), "\n")
-    out = joined.withColumn("_left", F.when(F.col("_bad").isNull(), F.col(text)).otherwise(left))
-    n_lines = F.coalesce(F.when(F.col(text) != "", F.size(raw)), F.lit(0)).cast("long")
-    n_left = F.when(F.col("_bad").isNull(), n_lines).otherwise(F.size(stays).cast("long"))
+    joined = keyed.join(bad.hint("shuffle_hash"), keyed["_k"] == bad["k"], "left").drop("k", "_k")
+    stays = F.filter(F.split(F.col(text), "\n"), lambda x: ~F.coalesce(F.array_contains(F.col("_bad"), _template(_masked(x))), F.lit(False)))
+    out = joined.withColumn("_kept", F.when(F.col("_bad").isNotNull(), stays))
+    out = out.withColumn("_left", F.when(F.col("_bad").isNull(), F.col(text)).otherwise(F.array_join("_kept", "\n")))
+    breaks = F.octet_length(F.col(text)) - F.octet_length(F.replace(F.col(text), F.lit("\n"), F.lit("")))
+    n_lines = F.coalesce(F.when(F.col(text) != "", breaks + 1), F.lit(0)).cast("long")
+    n_left = F.when(F.col("_bad").isNull(), n_lines).otherwise(F.size("_kept").cast("long"))
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     return out.select(*[F.col("_left").alias(c) if c == text else F.col(c) for c in names], n_lines.alias("n_lines"), (n_lines - n_left).alias("n_dropped"))
 
