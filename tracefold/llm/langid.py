@@ -33,6 +33,7 @@ from .store import table
 SLOT_BITS = 14
 SLOTS = 1 << SLOT_BITS
 SAMPLE = 4096
+PARTS = 64
 LANDMARKS = 64
 RIDGE = 1e-2
 GRAMS = (1, 2, 3)
@@ -124,8 +125,12 @@ def _sample(docs: DataFrame) -> list:
         return []
     each = max(1, SAMPLE // n)
     order = F.md5(F.col("doc_id").cast("string"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(order, "doc_id"))
-    chosen = rows.withColumn("_r", rank).filter(F.col("_r") <= each).select("doc_id", F.col("_r").alias("r")).dropDuplicates(["doc_id"])
+    # first within PARTS parts of a language, so the last ranking of one has at most PARTS * SAMPLE rows whatever the input
+    rows = rows.withColumn("_o", order).withColumn("_part", F.crc32(F.col("_o").cast("binary")) % PARTS)
+    for keys in (["lang", "_part"], ["lang"]):
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy("_o", "doc_id"))
+        rows = rows.withColumn("_r", rank).filter(F.col("_r") <= each)
+    chosen = rows.select("doc_id", F.col("_r").alias("r")).dropDuplicates(["doc_id"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
