@@ -37,15 +37,15 @@ MIN_DOCS = 4
 MIN_FIXED = 0.7
 COPY_SHARE = 0.5
 SLOTS = 1 << 20
-#: tokens with a digit, and runs of blanks inside a line
-MASKED = r"[^\x20\x09-\x0D0-9]*[0-9][^\x20\x09-\x0D]*"
-BLANKS = r"[\x20\x09\x0B-\x0D]+"
+#: tokens with a digit, from their start on, and runs of blanks inside a line
+MASKED = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
+BLANKS = r"[\x20\x09\x0B-\x0D]++"
 
 
 def _masked(line: Column) -> Column:
-    """A line with masked tokens and single blanks; most lines need neither expression."""
-    masked = F.when(line.rlike("[0-9]"), F.regexp_replace(line, MASKED, "<*>")).otherwise(line)
-    return F.trim(F.when(masked.rlike(r"[\x09\x0B-\x0D]|  "), F.regexp_replace(masked, BLANKS, " ")).otherwise(masked))
+    """A line with masked tokens and single blanks; most lines need no pattern but the first."""
+    plain = ~line.rlike(r"[0-9\x09\x0B-\x0D]") & ~F.contains(line, F.lit("  "))
+    return F.trim(F.when(plain, line).otherwise(F.regexp_replace(F.regexp_replace(line, MASKED, "<*>"), BLANKS, " ")))
 
 
 def _count(line: Column) -> Column:
@@ -53,11 +53,6 @@ def _count(line: Column) -> Column:
     return (F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1).cast("int")
 
 
-def _template(line: Column) -> Column:
-    """Hash of a masked line; null for lines too short to be a template."""
-    return F.when(_count(line) >= MIN_TOKENS, F.xxhash64(line))
-
-
 def _leaf(line: Column) -> Column:
     return F.xxhash64(_count(line), F.substring_index(line, " ", DEPTH))
 
@@ -66,12 +61,11 @@ def _exploded(docs: DataFrame) -> DataFrame:
     """(k, line): the masked lines of every text.
 
     Masking happens inside the arrays that are exploded: filters and joins on
-    what follows cannot make Spark evaluate its patterns again.
+    what follows cannot make Spark evaluate its patterns again.  The key is
+    taken before the lines are exploded, so no line carries its text along.
     """
-    digits = lambda x: F.when(x.rlike("[0-9]"), F.regexp_replace(x, MASKED, "<*>")).otherwise(x)
-    blanks = lambda x: F.when(x.rlike(r"[\x09\x0B-\x0D]|  "), F.regexp_replace(x, BLANKS, " ")).otherwise(x)
-    masked = F.transform(F.transform(F.split("text", "\n"), digits), blanks)
-    return docs.select(F.xxhash64("text").alias("k"), F.explode(masked).alias("line")).select("k", F.trim("line").alias("line"))
+    lines = docs.select(F.xxhash64("text").alias("k"), F.transform(F.split("text", "\n"), _masked).alias("lines"))
+    return lines.select("k", F.explode("lines").alias("line"))
 
 
 def _occurrences(docs: DataFrame) -> DataFrame:
@@ -139,7 +133,8 @@ def drop_templates(docs: DataFrame, text: str = "text") -> DataFrame:
     bad = hits.join(gone, "g", "left_semi").groupBy("k").agg(F.collect_set("t").alias("_bad"))
     keyed = docs.withColumn("_k", F.xxhash64(F.col(text)))
     joined = keyed.join(bad.hint("shuffle_hash"), keyed["_k"] == bad["k"], "left").drop("k", "_k")
-    stays = F.filter(F.split(F.col(text), "\n"), lambda x: ~F.coalesce(F.array_contains(F.col("_bad"), _template(_masked(x))), F.lit(False)))
+    # only lines of MIN_TOKENS tokens or more have their hash in _bad
+    stays = F.filter(F.split(F.col(text), "\n"), lambda x: ~F.array_contains(F.col("_bad"), F.xxhash64(_masked(x))))
     out = joined.withColumn("_kept", F.when(F.col("_bad").isNotNull(), stays))
     out = out.withColumn("_left", F.when(F.col("_bad").isNull(), F.col(text)).otherwise(F.array_join("_kept", "\n")))
     breaks = F.octet_length(F.col(text)) - F.octet_length(F.replace(F.col(text), F.lit("\n"), F.lit("")))
