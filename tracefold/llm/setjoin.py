@@ -217,7 +217,11 @@ def _distinct_lists(lists: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(cls, shingles) of the given documents: found by a bit table of their ids first, by a join then."""
+    """(cls, shingles) of the given documents, found by a bit table of their ids.
+
+    Where two ids share a bit, a set comes along that no pair will ask for; an
+    exact join here would shuffle all sets to leave those few out.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(_bit_table(ids, F.xxhash64("cls"), ID_BITS))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,8 +236,7 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0).take(pick), lists], ["cls", "shingles"])
 
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << ID_BITS))
-    rows = docs.filter("doc_id is not null").select("doc_id", "text", slot.alias("slot")).mapInArrow(scan, "cls bigint, shingles array<bigint>")
-    return rows.join(ids, "cls", "left_semi")
+    return docs.filter("doc_id is not null").select("doc_id", "text", slot.alias("slot")).mapInArrow(scan, "cls bigint, shingles array<bigint>")
 
 
 def _within(a_n: str, b_n: str) -> Column:
@@ -246,8 +249,21 @@ def _reaches(overlap: str, a_n: str, b_n: str) -> str:
     return f"100 * ({overlap}) >= {PERCENT} * ({a_n} + {b_n} - ({overlap}))"
 
 
+def _asked(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The sets that the pairs name, and few others, without a shuffle of the sets.
+
+    The broadcast side is a bit table of at most 2**ID_BITS / 64 rows.
+    """
+    slot = F.pmod(F.xxhash64("cls"), F.lit(1 << ID_BITS))
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("cls")).select(slot.alias("slot"))
+    bits = ids.groupBy(F.floor(F.col("slot") / 64).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("bits"))
+    rows = sets.withColumn("slot", slot).withColumn("word", F.floor(F.col("slot") / 64)).join(F.broadcast(bits), "word")
+    return rows.filter("getbit(bits, cast(slot % 64 as int)) = 1").select("cls", "shingles")
+
+
 def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, na, nb, o): exact overlap of each pair; the sets of ``a``, the hubs, travel once each."""
+    """(a, b, na, nb, o): exact overlap of each pair; only sets that a pair names are shuffled."""
+    sets = _asked(sets, pairs)
     left = sets.select(F.col("cls").alias("b"), F.col("shingles").alias("sb"))
     right = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("sa"))
     return pairs.join(left, "b").join(right, "a").select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).alias("o"))
