@@ -54,6 +54,7 @@ TOKEN_BITS = 26
 SHORT_LIST = 4096
 #: a list's remaining members are paired at once up to this many; beyond, in blocks of so many hubs
 PAIRED = 48
+PIECE = 256
 IS_WORD = flat.word_bytes(flat.SPACE)
 LOWER = flat.lower_ascii()
 
@@ -72,6 +73,13 @@ def shingle_sets(column: pa.Array) -> Iterator[np.ndarray]:
                 yield np.zeros(0, np.uint64)
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of at most PIECE rows, which bound what a Python worker holds besides its input."""
+    for b in batches:
+        for lo in range(0, b.num_rows, PIECE):
+            yield b.slice(lo, PIECE)
+
+
 def _slots(s: np.ndarray) -> np.ndarray:
     return (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
@@ -86,7 +94,7 @@ def _first_pass(docs: DataFrame) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n", "key", "block", "counts"]
         counts = np.zeros(1 << SKETCH_BITS, np.uint32)
-        for b in batches:
+        for b in _pieces(batches):
             sizes, keys = [], []
             for s in shingle_sets(b.column(1)):
                 sizes.append(len(s))
@@ -142,7 +150,7 @@ def _shared_bits(docs: DataFrame, sketch: bytes) -> bytes:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.frombuffer(shared.value, np.uint32)
-        for b in batches:
+        for b in _pieces(batches):
             held = [_prefix(s, counts)[0] for s in shingle_sets(b.column(0)) if len(s)]
             toks = np.concatenate(held).view(np.int64) if held else np.zeros(0, np.int64)
             for lo in range(0, len(toks), 1 << 17):
@@ -173,7 +181,7 @@ def _postings(docs: DataFrame, sketch: bytes, bits: bytes) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, table_ = np.frombuffer(shared.value[0], np.uint32), shared.value[1]
-        for b in batches:
+        for b in _pieces(batches):
             rows, sizes, keys, ends, toks, poss, hots = [], [], [], [0], [], [], []
             for i, s in enumerate(shingle_sets(b.column(1))):
                 tok, hot = _prefix(s, counts)
@@ -225,7 +233,7 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(_bit_table(ids, F.xxhash64("cls"), ID_BITS))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _pieces(batches):
             slot = np.asarray(b.column(2).to_numpy(zero_copy_only=False), np.int64)
             pick = pa.array(np.flatnonzero(_lookup(shared.value, slot)))
             values, ends = [], [0]
