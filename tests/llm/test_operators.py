@@ -179,6 +179,24 @@ def test_html_awkward(spark):
     assert got[2] == ("", 0) and got[3] == ("plain text", 10) and got[4][0] == "ab"
 
 
+def _page(body):
+    return f"<html><body><nav><a href=x>menu</a></nav>{body}</body></html>"
+
+
+def test_html_keeps_main_text_outside_one_container(spark):
+    """A lead in the shared div and the body in another, sibling sections, an article beside more text."""
+    lead, rest = "lead " * 30, "body " * 90
+    rows = [(i, "http://h.example/a", _page(f'<div class="lead"><p>{lead}</p></div>')) for i in range(5)]
+    rows += [
+        (10, "http://h.example/b", _page(f'<div class="lead"><p>{lead}</p></div><div class="text"><p>{rest}</p></div>')),
+        (11, "http://i.example/c", _page(f"<div><p>{rest}</p></div><div><p>{lead}</p></div>")),
+        (12, "http://j.example/d", _page(f"<article><p>{rest}</p></article><section><p>{lead}</p></section>")),
+    ]
+    got = {r["page_id"]: r["text"] for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    lead, rest = lead.strip(), rest.strip()
+    assert got == {**{i: lead for i in range(5)}, 10: f"{lead}\n\n{rest}", 11: f"{rest}\n\n{lead}", 12: f"{rest}\n\n{lead}"}
+
+
 def test_chat_awkward(spark):
     rows = [(1, 0, "user", "hi"), (2, 0, "user", "hi"), (2, 1, "assistant", "yo"), (3, 0, "user", "hi"), (3, 1, "assistant", "yo"), (4, 0, None, None), (None, 0, "user", "<|im_end|>")]
     got = {(r["conv_id"], r["n_turns"], r["n_copies"]) for r in chat.collapse_and_render(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}

@@ -1,12 +1,11 @@
 """Main-text extraction by consensus host paths.
 
 Every page is parsed into containers, each known by its generalised tag-class
-path (digits in class names read as ``#``).  A page's containers are scored by
-the text they hold that is neither boilerplate nor link text, and the page
-votes for the deepest one that holds most of it (an ``article`` or ``main``
-that holds half of it comes first).  Votes are summed by host and path in
-Spark, and the pages are extracted again with their host's winning path; a
-page without that path, or with hardly any text under it, uses its own vote.
+path (digits in class names read as ``#``).  The page votes for the lowest
+container that holds all of its text that is neither boilerplate nor link text
+(an ``article`` or ``main`` around that comes first).  Votes are summed by host
+and path in Spark, and the pages are extracted again with their host's winning
+path; a page with any such text outside that path uses its own vote.
 
 Only (host, path) counts are shuffled by host, with map-side sums, so a host
 with a third of all pages costs one row per map task.  The winners, a row per
@@ -31,10 +30,6 @@ from pyspark.sql import functions as F
 
 from .store import materialize, table
 
-COVER = 0.7
-ARTICLE_COVER = 0.5
-OWN_SHARE = 0.2
-
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|</?[a-zA-Z](?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|</?[a-zA-Z][^>]*+>|<[!?/][^>]*+>",
     re.S,
@@ -71,7 +66,6 @@ class Node:
     path: str
     bad: bool
     article: bool
-    text: int = 0
 
 
 def _boilerplate(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
@@ -164,31 +158,36 @@ def parse(page: str) -> list[tuple[Node, str, int]]:
 
 
 def vote(blocks: list[tuple[Node, str, int]]) -> tuple[str, int]:
-    """The path of the container that holds the main text, and its score."""
-    total, order = 0, []
+    """The path of the lowest container that holds all the main text, and the score of that text."""
+    total, pick, last = 0, None, None
+    above: set[int] = set()  # pick and what is above it
     for node, t, link in blocks:
         score = 0 if node.bad else len(t) - link
         total += score
-        while score and node is not None:
-            if not node.text:
-                order.append(node)
-            node.text += score
+        if not score or node is last:
+            continue
+        last = node
+        while pick is not None and node is not None and id(node) not in above:
             node = node.parent
-    if not total:
+        if node is not pick:
+            pick, above = node, set()
+            while node is not None:
+                above.add(id(node))
+                node = node.parent
+    if pick is None:
         return "", 0
-    depth = lambda n: n.path.count("/")
-    best = [n for n in order if n.tag in ("article", "main") and n.text >= ARTICLE_COVER * total]
-    if best:
-        pick = min(best, key=depth) if len({n.tag for n in best}) == 1 else max(best, key=lambda n: (n.tag == "article", -depth(n)))
-    else:
-        pick = max((n for n in order if n.text >= COVER * total), key=lambda n: (depth(n), n.text))
-        while pick.tag in ("li", "td", "th", "tr", "tbody", "blockquote", "figure") and pick.parent is not None:
-            pick = pick.parent
-    return pick.path, pick.text
+    while pick.tag in ("li", "td", "th", "tr", "tbody", "blockquote", "figure") and pick.parent is not None:
+        pick = pick.parent
+    outer: dict[str, Node] = {}
+    node = pick
+    while node is not None:
+        outer[node.tag] = node
+        node = node.parent
+    return outer.get("article", outer.get("main", pick)).path, total
 
 
 def extract(blocks: list[tuple[Node, str, int]], path: str | None) -> str:
-    """The blocks under ``path`` that are not boilerplate; under the page's own vote if that path holds too little."""
+    """The blocks under ``path`` that are not boilerplate; under the page's own vote if that path does not hold all the main text."""
     own, score = vote(blocks)
 
     def under(p: str) -> list[tuple[Node, str, int]]:
@@ -204,7 +203,7 @@ def extract(blocks: list[tuple[Node, str, int]], path: str | None) -> str:
         return out
 
     got = under(path) if path else []
-    if sum(len(t) - link for _, t, link in got) < OWN_SHARE * score or not got:
+    if sum(len(t) - link for _, t, link in got) < score or not got:
         got = under(own)
     return "\n\n".join(t for _, t, _ in got)
 
