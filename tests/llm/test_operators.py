@@ -197,6 +197,29 @@ def test_html_keeps_main_text_outside_one_container(spark):
     assert got == {**{i: lead for i in range(5)}, 10: f"{lead}\n\n{rest}", 11: f"{rest}\n\n{lead}", 12: f"{rest}\n\n{lead}"}
 
 
+def test_html_takes_back_marks_of_wrappers(spark):
+    """Layout classes, a page-wide form and an unclosed nav hold the article; true boilerplate stays out."""
+    text, other = "body " * 40, "other " * 10
+    skip = "<div>Skip</div>"
+    pages = {
+        1: f'{skip}<div class="has-sidebar"><article><p>{text}</p></article><div class="sidebar">{other}</div></div>',
+        2: f'<div class="page-header-fixed"><div class="top"><p>{text}</p></div><footer>{other}</footer></div>',
+        3: f'<div id="nav-open"><main><p>{text}</p></main></div>',
+        4: f"<form action=x><div><p>{text}</p></div><nav>{other}</nav></form>",
+        5: f"<nav><a href=x>menu</a><article><p>{text}</p></article>",
+        6: f'<article><p>{other}</p></article><div class="comments"><article>{text}</article></div>',
+        7: f'<div class="post"><p>{text}</p></div><div class="related"><article>{other}</article><article>{other}</article></div>',
+        8: f"<div><p>{other}</p></div><select><option>{text}</option></select>",
+        9: f"<div hidden><p>{text}</p></div>",
+        10: f'<form role="main"><p>{text}</p></form>{skip * 60}',
+    }
+    rows = [(i, f"http://h{i}.example/", f"<html><body>{p}</body></html>") for i, p in pages.items()]
+    got = {r["page_id"]: r["text"] for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    text, other = text.strip(), other.strip()
+    assert got[1] == f"Skip\n\n{text}" and got[10] == "\n\n".join([text, *["Skip"] * 60])
+    assert [got[i] for i in range(2, 10)] == [text, text, text, text, other, text, other, text]
+
+
 def test_chat_awkward(spark):
     rows = [(1, 0, "user", "hi"), (2, 0, "user", "hi"), (2, 1, "assistant", "yo"), (3, 0, "user", "hi"), (3, 1, "assistant", "yo"), (4, 0, None, None), (None, 0, "user", "<|im_end|>")]
     got = {(r["conv_id"], r["n_turns"], r["n_copies"]) for r in chat.collapse_and_render(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}

@@ -7,6 +7,12 @@ container that holds all of its text that is neither boilerplate nor link text
 and path in Spark, and the pages are extracted again with their host's winning
 path; a page with any such text outside that path uses its own vote.
 
+Tags, roles and names mark containers as boilerplate with all they hold.  On a
+page whose ``article`` or ``main`` is not marked the marks stand.  Elsewhere a
+mark is taken back if its container holds the page's ``main`` or only
+``article``, or more text than is left unmarked, as layout classes, page-wide
+forms and unclosed elements do.
+
 Only (host, path) counts are shuffled by host, with map-side sums, so a host
 with a third of all pages costs one row per map task.  The winners, a row per
 host, are joined to the pages by Spark's choice of join.
@@ -55,33 +61,80 @@ ROLES = frozenset("navigation banner contentinfo complementary search form alert
 #: a class of these is never boilerplate whatever else it says
 KEEPS = frozenset("body content article post entry main story".split())
 ANCESTRY = frozenset(("html", "body", "article", "main"))
+#: marks that are taken back: readily, for more text than is unmarked, for the only text, never
+LOOSE, FIRM, HIDDEN, FINAL = 1, 2, 3, 4
+SECTIONS = frozenset("nav aside footer header search".split())
 
 
 @dataclass
 class Node:
-    """A container: its parent, path, and whether it or something above it is boilerplate."""
+    """A container: its parent, path, own mark, and whether it or something above it is boilerplate."""
 
     parent: Node | None
     tag: str
     path: str
+    mark: int
     bad: bool
     article: bool
 
 
-def _boilerplate(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
-    if tag in BOILERPLATE or (tag == "header" and not in_article):
-        return True
-    if attributes.get("role", "").lower() in ROLES or "hidden" in attributes or attributes.get("aria-hidden") == "true":
-        return True
-    if tag in ANCESTRY:
-        return False
+def _is_article(tag: str, attributes: dict[str, str]) -> bool:
+    return tag in ("article", "main") or attributes.get("role") == "main" or attributes.get("itemprop") == "articleBody"
+
+
+def _boilerplate(tag: str, attributes: dict[str, str], in_article: bool) -> int:
+    """The mark of an element, 0 for none."""
+    if tag in SECTIONS and (tag != "header" or not in_article):
+        return FIRM
+    if tag in BOILERPLATE and tag != "form":
+        return FINAL
+    if "hidden" in attributes or attributes.get("aria-hidden") == "true":
+        return HIDDEN
+    if tag == "form" or attributes.get("role", "").lower() in ROLES:
+        return LOOSE
+    if tag in ANCESTRY or _is_article(tag, attributes):
+        return 0
     names = WORDS.findall(f"{attributes.get('class', '')} {attributes.get('id', '')}".lower())
-    return any(n in MARKS for n in names) and not any(n in KEEPS for n in names)
+    return LOOSE if any(n in MARKS for n in names) and not any(n in KEEPS for n in names) else 0
+
+
+def _unmark(blocks: list[tuple[Node, str, int]]) -> None:
+    """Take back the marks of containers that hold the main text; see above."""
+    while not any(node.article and not node.bad and len(t) > link for node, t, link in blocks):
+        free, held, articles = 0, {}, set()
+        for node, t, link in blocks:
+            score, inner, n = len(t) - link, None, node
+            while n is not None and not n.mark:
+                inner = n if n.article else inner
+                n = n.parent
+            if n is None:
+                free += score
+            elif score:
+                of = held.setdefault(id(n), [0, n, {}])
+                of[0] += score
+                if n.article:  # the mark is inside an article, or on one
+                    inner = None if n.parent.article else n
+                if inner is not None:
+                    of[2][id(inner)] = inner
+                    articles.add(id(inner))
+        found = []
+        for score, n, inner in held.values():
+            named = n.mark == LOOSE and len(articles) == 1 and inner or n.mark in (LOOSE, FIRM) and any(i.tag != "article" for i in inner.values())
+            if named or n.mark in (LOOSE, FIRM) and score > free or n.mark == HIDDEN and not free:
+                found.append((bool(named), score, n))
+        if not found:
+            return
+        max(found, key=lambda x: x[:2])[2].mark = 0
+        for node, _, _ in blocks:
+            n = node
+            while n is not None and not n.mark:
+                n = n.parent
+            node.bad = n is not None
 
 
 def parse(page: str) -> list[tuple[Node, str, int]]:
     """Blocks of text in page order: their container, text, and how much of it is link text."""
-    root = Node(None, "", "", False, False)
+    root = Node(None, "", "", 0, False, False)
     stack: list[Node] = [root]
     blocks: list[tuple[Node, str, int]] = []
     text: list[str] = []
@@ -148,12 +201,14 @@ def parse(page: str) -> list[tuple[Node, str, int]]:
             if tag == "li" and stack[-1].tag == "li":
                 stack.pop()
             top = stack[-1]
-            article = top.article or tag in ("article", "main") or attributes.get("role") == "main" or attributes.get("itemprop") == "articleBody"
+            article = top.article or _is_article(tag, attributes)
             classes = ".".join(sorted(DIGITS.sub("#", attributes.get("class", "")).split()))
             path = f"{top.path}/{tag}.{classes}" if classes else f"{top.path}/{tag}"
             if not token.endswith("/>") or tag in CONTAINERS:
-                stack.append(Node(top, tag, path, top.bad or _boilerplate(tag, attributes, top.article), article))
+                mark = _boilerplate(tag, attributes, top.article)
+                stack.append(Node(top, tag, path, mark, top.bad or mark > 0, article))
     flush()
+    _unmark(blocks)
     return blocks
 
 
