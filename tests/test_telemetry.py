@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracefold.functions import scalars as X
-from tracefold.operators import incidents, topology
+from tracefold.operators import causal, incidents, topology
 from tracefold.operators.events import normalise
 from tracefold.plans import context
 from tracefold.queries import ORACLES, QUERIES
@@ -82,6 +82,40 @@ def test_contexts_have_one_row_per_signal(spark):
     assert len(rows) == want and all(r["incident_id"] in r["explain"] and 0 < r["confidence"] <= 0.95 for r in rows)
 
 
+def test_matches_spread_over_families(spark):
+    """Near variants of one family take one of the five places first; another family keeps its own."""
+    element = [(f"metric:m{i}:high", "trigger", "before") for i in range(10)]
+    variants = [[*element[:9], (f"deploy{i}", "trigger", "before")] for i in range(6)]
+    other = [*element[:6], *[(f"log:x{i}", "trigger", "before") for i in range(4)]]
+    rows = [(f"INC-{i}", "n", f"2024-01-0{i + 1}", r, *x) for i, v in enumerate([other, *variants, element]) for r, x in enumerate(v)]
+    prints = incidents.fingerprints(spark.createDataFrame(rows, "incident_id string, trigger_node string, sig_ts string, rank int, label string, role string, direction string"))
+    got = incidents.similar_incidents(prints, prints, incidents.pair_scores(prints)).filter("incident_id = 'INC-7'").orderBy("rank").collect()
+    assert [r["match_id"] for r in got] == ["INC-6", "INC-0", "INC-5", "INC-4", "INC-3"]
+
+
+def test_history_leaves_out_aliases_of_the_trigger(spark):
+    from tracefold.queries import WIDE_INGEST, _t
+
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{sf}/events.parquet'")
+    every = ORACLES["fingerprint_hash"]
+    own = every.replace("v.label IS NOT NULL\n", "v.label IS NOT NULL AND (h.node <> h.trigger_node OR v.service = (SELECT x.service FROM tel x WHERE x.incident_id = h.incident_id))\n")
+    want, other = (sorted(con.execute(f"SELECT incident_id, fp_hash FROM ({q})").fetchall()) for q in (own, every))
+    got = sorted((r["incident_id"], r["fp_hash"]) for r in context.history(_t(spark, sf), WIDE_INGEST).collect())
+    assert got == want != other
+
+
+def test_causes_are_read_from_the_graph_at_the_last_event(spark):
+    rows = [("INC", s, "a", i, t, "log", n, None, None, "error", i) for i, (s, t, n) in enumerate([("2024-01-01 00:00:00", "2024-01-01 00:01:00", "a"), ("2024-01-01 00:00:00", "2024-01-01 00:04:00", "b")], 1)]
+    names = "incident_id string, sig_ts string, trigger_node string, event_id long, ts string, kind string, node string, name string, value double, level string, rank int"
+    ev = spark.createDataFrame(rows, names).withColumn("ts", F.to_timestamp_ntz("ts")).withColumn("sig_ts", F.to_timestamp_ntz("sig_ts"))
+    edges = spark.createDataFrame([("a", "b", "2024-01-01 00:03:00", "2024-01-02 00:00:00")], "src string, dst string, valid_from string, valid_to string")
+    edges = edges.withColumn("valid_from", F.to_timestamp_ntz("valid_from")).withColumn("valid_to", F.to_timestamp_ntz("valid_to"))
+    assert [(r["cause"], r["effect"]) for r in causal.causal_chain(ev, edges).collect()] == [(1, 2)]
+    assert causal.graph_pairs(ev, edges).count() == 0
+
+
 def test_stream_ingest_is_idempotent(spark, tmp_path):
     from tracefold.streaming.ingest import ingest
 

@@ -22,14 +22,19 @@ def _side(df: DataFrame, p: str, keys: list[str]) -> DataFrame:
     return df.select(*keys, *[F.col(c).alias(f"{p}_{c}") for c in _EVENT], sev.alias(f"{p}_sev"))
 
 
-def graph_pairs(events: DataFrame, edges: DataFrame) -> DataFrame:
-    """(incident_id, cause, effect, confidence, evidence): the best pair of events on each edge valid at the signal.
+def at_last_event(events: DataFrame) -> DataFrame:
+    """Adds ``graph_ts``, the time of each incident's last related event; causes are read from the graph as it was then."""
+    return events.withColumn("graph_ts", F.max("ts").over(Window.partitionBy("incident_id")))
+
+
+def graph_pairs(events: DataFrame, edges: DataFrame, at: str = "sig_ts") -> DataFrame:
+    """(incident_id, cause, effect, confidence, evidence): the best pair of events on each edge valid at ``at``, the signal's time or another.
 
     The effect may come from one minute before to fifteen after the cause.
     """
-    a = _side(events, "a", ["incident_id", "sig_ts", "trigger_node"])
+    a = _side(events, "a", ["incident_id", at, "trigger_node"])
     b = _side(events, "b", ["incident_id"])
-    valid = (F.col("valid_from") <= F.col("sig_ts")) & (F.col("valid_to").isNull() | (F.col("valid_to") > F.col("sig_ts")))
+    valid = (F.col("valid_from") <= F.col(at)) & (F.col("valid_to").isNull() | (F.col("valid_to") > F.col(at)))
     on = a.join(edges, (a["a_node"] == edges["src"]) & valid).join(b, ["incident_id"]).filter((F.col("dst") == F.col("b_node")) & (F.col("a_event_id") != F.col("b_event_id")))
     gap = X.minutes(F.col("b_ts"), F.col("a_ts"))
     on = on.withColumn("gap", gap).filter((F.col("gap") >= -1) & (F.col("gap") <= 15))
@@ -101,7 +106,7 @@ def pagerank_blend(pairs: DataFrame, events: DataFrame, alpha: float = 0.85, ste
 
 def causal_chain(events: DataFrame, edges: DataFrame, keep: int = 5, deep: bool = False) -> DataFrame:
     """Graph pairs, then rules on the other pairs; deep adds transitive edges and the walk."""
-    graph = written(graph_pairs(events, edges), "graph-pairs")
+    graph = written(graph_pairs(at_last_event(events), edges, "graph_ts"), "graph-pairs")
     rules = rule_pairs(events, edges).join(graph.select("incident_id", "cause", "effect"), ["incident_id", "cause", "effect"], "left_anti")
     chain = written(graph.unionByName(rules), "causes")
     if deep:

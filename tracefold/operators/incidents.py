@@ -66,22 +66,24 @@ def pair_scores(prints: DataFrame) -> DataFrame:
     return written(full.select("a", "b", jac.alias("jaccard"), "distance", sim.alias("similarity")), "scores")
 
 
-def similar_incidents(prints: DataFrame, scores: DataFrame, k: int = 5) -> DataFrame:
+def similar_incidents(prints: DataFrame, past: DataFrame, scores: DataFrame, k: int = 5) -> DataFrame:
     """(incident_id, rank, match_id, similarity, same_service): the k most similar earlier incidents.
 
-    Same trigger service adds 0.15.  One match for each (trigger, fingerprint)
-    comes first, then the list is filled up by rank.
+    ``past`` has the fingerprints that incidents were stored with; ``scores``
+    covers both.  Same trigger service adds 0.15.  One match for each (trigger,
+    family) comes first, then the list is filled up by rank.
     """
     both = scores.select("a", "b", "similarity").unionByName(scores.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
     own = prints.select(F.col("fp_hash").alias("a")).distinct().select("a", F.col("a").alias("b"), F.lit(1.0).alias("similarity"))
     q = prints.select("incident_id", F.col("fp_hash").alias("a"), "trigger_node", "sig_ts").join(both.unionByName(own), "a")
-    p = prints.select(F.col("incident_id").alias("match_id"), F.col("fp_hash").alias("b"), F.col("trigger_node").alias("_tn"), F.col("sig_ts").alias("_ts"))
+    p = past.select(F.col("incident_id").alias("match_id"), F.col("fp_hash").alias("b"), F.col("trigger_node").alias("_tn"), F.col("sig_ts").alias("_ts"))
+    p = p.join(families(past).groupBy(F.col("incident_id").alias("match_id")).agg(F.min("family").alias("family")), "match_id")
     m = q.join(p, "b").filter((F.col("_ts") < F.col("sig_ts")) & (F.col("match_id") != F.col("incident_id")))
     same = F.col("_tn") == F.col("trigger_node")
-    m = m.select("incident_id", "match_id", F.col("_tn").alias("match_node"), F.col("b").alias("match_hash"), same.alias("same_service"), F.when(same, F.least(F.lit(1.0), F.col("similarity") + 0.15)).otherwise(F.col("similarity")).alias("similarity"), F.col("_ts").alias("match_ts"))
+    m = m.select("incident_id", "match_id", F.col("_tn").alias("match_node"), "family", same.alias("same_service"), F.when(same, F.least(F.lit(1.0), F.col("similarity") + 0.15)).otherwise(F.col("similarity")).alias("similarity"), F.col("_ts").alias("match_ts"))
     order = [F.desc("similarity"), F.desc("same_service"), F.desc("match_ts"), F.asc("match_id")]
     m = m.withColumn("_r", F.row_number().over(Window.partitionBy("incident_id").orderBy(*order)))
-    m = m.withColumn("_f", F.row_number().over(Window.partitionBy("incident_id", "match_node", "match_hash").orderBy("_r")))
+    m = m.withColumn("_f", F.row_number().over(Window.partitionBy("incident_id", "match_node", "family").orderBy("_r")))
     m = m.withColumn("rank", F.row_number().over(Window.partitionBy("incident_id").orderBy((F.col("_f") > 1).cast("int"), "_r"))).filter(F.col("rank") <= k)
     return m.select("incident_id", "rank", "match_id", "similarity", "same_service", "match_ts")
 

@@ -24,6 +24,15 @@ class Mode:
     deep: bool
 
 
+@dataclass(frozen=True)
+class Ingest:
+    before_min: int
+    after_min: int
+    hops: int
+    bucket_min: int
+
+
+INGEST = Ingest(30, 5, 2, 5)
 FAST = Mode(35, 5, 200, 1, 5, 5, 10, False)
 DEEP = Mode(60, 5, 1000, 2, 15, 5, 2, True)
 
@@ -56,12 +65,22 @@ def prints(t: Telemetry, before_min: int, after_min: int, hops: int, bucket_min:
     return written(incidents.fingerprints(incidents.fingerprint_elements(seen, bucket_min)), "fingerprints")
 
 
-def contexts(t: Telemetry, mode: Mode = FAST) -> DataFrame:
+def history(t: Telemetry, ingest: Ingest = INGEST) -> DataFrame:
+    """Fingerprints as incidents are stored with on arrival: of the trigger, only events under the signal's own service name."""
+    own = t.signals.select("incident_id", "sig_ts", F.col("service").alias("sig_service"))
+    scope = topology.neighbourhood(t.signals, t.edges, ingest.hops).join(own, ["incident_id", "sig_ts"])
+    seen = incidents.window_events(scope, events.behaviour(t.events), ingest.before_min, ingest.after_min)
+    seen = seen.filter((F.col("node") != F.col("trigger_node")) | (F.col("service") == F.col("sig_service")))
+    return written(incidents.fingerprints(incidents.fingerprint_elements(seen, ingest.bucket_min)), "history")
+
+
+def contexts(t: Telemetry, mode: Mode = FAST, ingest: Ingest = INGEST) -> DataFrame:
     """incident_id, related_events, causal_chain, similar_past_incidents, suggested_remediations, confidence, explain."""
     rel = related(t, mode)
     fp = prints(t, mode.before_min, mode.after_min, mode.hops, mode.bucket_min)
-    scores = incidents.pair_scores(fp)
-    matches = written(incidents.similar_incidents(fp, scores, mode.matches), "matches")
+    past = history(t, ingest)
+    scores = incidents.pair_scores(fp.unionByName(past))
+    matches = written(incidents.similar_incidents(fp, past, scores, mode.matches), "matches")
     quiet = written(incidents.abstentions(fp, matches).filter("abstain").select("incident_id"), "abstained")
     matches = matches.join(quiet, "incident_id", "left_anti")
     chain = written(causal.causal_chain(rel, t.edges, mode.causal, mode.deep), "chains")

@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from .functions import scalars as X
 from .operators import causal, events, incidents, remediation, topology
 from .plans import context
-from .plans.context import DEEP, Mode, Telemetry
+from .plans.context import DEEP, Ingest, Mode, Telemetry
 from .sources.telemetry import driver_telemetry, driver_topology
 
 #: the driver's events are sparse, so windows are hours here; the product's are minutes
 WIDE = Mode(360, 60, 200, 1, 5, 5, 60, False)
 WIDE_DEEP = Mode(360, 60, 200, 2, 15, 5, 60, True)
+WIDE_INGEST = Ingest(360, 60, 2, 60)
 
 
 def _t(spark: SparkSession, d: str) -> Telemetry:
@@ -30,6 +31,11 @@ def _prints(t: Telemetry) -> DataFrame:
     return context.prints(t, WIDE.before_min, WIDE.after_min, 2, 60)
 
 
+def _similar(t: Telemetry, p: DataFrame) -> DataFrame:
+    past = context.history(t, WIDE_INGEST)
+    return incidents.similar_incidents(p, past, incidents.pair_scores(p.unionByName(past)))
+
+
 def normalise_events(spark, d):
     return driver_telemetry(spark, d).select("event_id", "ts", "kind", "service", "level", "name", "value")
 
@@ -141,13 +147,14 @@ def similarity_scores(spark, d):
 
 
 def similar_topk(spark, d):
-    p = _prints(_t(spark, d))
-    return incidents.similar_incidents(p, incidents.pair_scores(p))
+    t = _t(spark, d)
+    return _similar(t, _prints(t))
 
 
 def abstain_flags(spark, d):
-    p = _prints(_t(spark, d))
-    return incidents.abstentions(p, incidents.similar_incidents(p, incidents.pair_scores(p)))
+    t = _t(spark, d)
+    p = _prints(t)
+    return incidents.abstentions(p, _similar(t, p))
 
 
 def families(spark, d):
@@ -180,7 +187,7 @@ def remediation_neighbours(spark, d):
 def remediation_suggestions(spark, d):
     t = _t(spark, d)
     p, rem, sig = _prints(t), context.topology_remediations(t), t.signals.select("incident_id", "sig_ts", "node")
-    m = incidents.similar_incidents(p, incidents.pair_scores(p)).join(sig.select("incident_id", "sig_ts"), "incident_id")
+    m = _similar(t, p).join(sig.select("incident_id", "sig_ts"), "incident_id")
     return remediation.suggest(remediation.by_incident(m, rem), remediation.by_target(sig, rem), remediation.neighbours(sig, t.edges, rem))
 
 
@@ -200,11 +207,11 @@ def causal_chain_deep(spark, d):
 
 
 def contexts_fast(spark, d):
-    return context.contexts(_t(spark, d), WIDE)
+    return context.contexts(_t(spark, d), WIDE, WIDE_INGEST)
 
 
 def contexts_deep(spark, d):
-    return context.contexts(_t(spark, d), WIDE_DEEP)
+    return context.contexts(_t(spark, d), WIDE_DEEP, WIDE_INGEST)
 
 
 def baseline_same_name(spark, d):
