@@ -53,7 +53,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("source_mixing", mix),
 ]
 
-#: the language classifier has no SQL form; tests hold run() against its stages' brute-force versions
+#: the language classifier has no SQL form; tests hold the other stages against SQL or brute force, and run() against the stages
 ORACLE_SQL = None
 
 

@@ -93,6 +93,39 @@ def test_jaccard_awkward(docs, empty):
     assert setjoin.jaccard_components(empty).count() == 0
 
 
+def test_pipeline_stages_equal_brute_force(spark):
+    """Every stage on what the one before it kept; the language classifier, which has no other form, by its own predictions."""
+    import corpus_pipeline as cp
+    from tracefold.llm.store import materialize, table
+
+    con = duckdb.connect()
+    con.execute(f"create view benchmark as select * from '{SF}/benchmark.parquet'")
+    docs = table(spark, SF, "documents")
+    for name, stage in cp.STAGES:
+        out = materialize(stage(spark, docs, SF), f"test-{name}")
+        before, after = docs.toPandas(), out.toPandas()
+        con.register("documents", before)
+        kept, texts = sorted(after["doc_id"]), dict(zip(before["doc_id"], before["text"], strict=True))
+        if name == "language_id":
+            scored = langid.predict(docs, langid.fit(docs)).collect()
+            assert kept == sorted(r["doc_id"] for r in scored if r["lang_pred"] != langid.UNDETERMINED and r["score"] >= cp.MIN_SCORE)
+        elif name == "line_dedup":
+            want = sorted(con.execute(f"SELECT doc_id, text_md5 FROM ({ORACLES['op5_line_templates']})").fetchall())
+            got = sorted((i, hashlib.md5(t.encode()).hexdigest()) for i, t in zip(after["doc_id"], after["text"], strict=True))
+            assert got == want
+        elif name == "ngram_jaccard_join":
+            assert kept == sorted(i for i, _, c in _components(list(texts.items())) if i == c)
+        elif name == "benchmark_decontamination":
+            assert kept == sorted(r[0] for r in con.execute(f"SELECT doc_id FROM ({ORACLES['op10_decontaminate']}) WHERE NOT contaminated").fetchall())
+        else:
+            cols = "doc_id, source, size, source_size, target, taken, position"
+            want = con.execute(f"SELECT {cols} FROM ({ORACLES['op2_mixing']})").fetchall()
+            assert sorted(map(repr, map(tuple, out.select(*cols.split(", ")).collect()))) == sorted(map(repr, want))
+        con.unregister("documents")
+        docs = out
+    assert sorted(map(repr, cp.run(spark, SF).collect())) == sorted(map(repr, docs.collect()))
+
+
 def test_mixing_reaches_targets(docs, empty):
     rows = mixing.mix(docs).collect()
     assert len(rows) == len(AWKWARD)
