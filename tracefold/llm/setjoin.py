@@ -62,9 +62,9 @@ BLOCK_BITS = 14
 ID_BITS = 23
 TOKEN_BITS = 26
 #: hubs of an open list in the first round that finishes lists, and the factor by which they grow
-HUBS, GROWTH = 16, 8
-#: each class is compared with one hub again while that links this share of them or more
-PRODUCTIVE = 0.1
+HUBS, GROWTH = 128, 16
+#: each class is compared with one hub again while that links this share of them or more, and leaves more than another of the postings open
+PRODUCTIVE, MANY = 0.1, 0.25
 #: a block of an index list holds sets whose sizes differ by less than this factor
 BAND = 1.05
 PIECE = 256
@@ -323,7 +323,7 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
+        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
         new = scratch.put(small, "edges")
@@ -368,8 +368,9 @@ class _Join:
         self.labels, self.live = labels, live
         return live.count()
 
-    def probe(self) -> float:
-        """Compares every class with one hub of another component, the best of all its lists; returns the share of classes that this linked."""
+    def probe(self) -> bool:
+        """Compares every class with one hub of another component, the best of all its lists; returns whether to do so again."""
+        rows = self.live.count()
         hubs = self.live.groupBy("tok").agg(F.max(F.struct("r", "cls", "n", "comp")).alias("hub"))
         cand = self.live.join(hubs, "tok").filter("cls <> hub.cls AND comp <> hub.comp AND n <= hub.r AND hub.n <= r")
         best = cand.groupBy("cls").agg(F.max("hub").alias("hub"), F.first("n").alias("nb"), F.first("comp").alias("cb"))
@@ -384,8 +385,8 @@ class _Join:
         self.near = answers if self.near is None else self.near.unionByName(answers.join(self.near, "cls", "left_anti"))
         links = over.filter(_reaches("o", "na", "nb"))
         linked, of = links.count(), self.live.select("cls").distinct().count()
-        self.contract(links, self.live)
-        return linked / max(of, 1)
+        left = self.contract(links, self.live)
+        return linked >= PRODUCTIVE * of and left > MANY * rows
 
     def finish(self, hubs: int) -> bool:
         """Compares some hubs of every open list with all that is in their reach and takes them out; returns whether lists are open still."""
@@ -430,7 +431,7 @@ def class_links(docs: DataFrame, classes: DataFrame, sketch: bytes, scratch: Scr
     if live.isEmpty():
         return None
     state = _Join(scratch, live, scratch.put(_sets(docs, classes, live.select("cls").distinct()), "sets"))
-    while state.probe() >= PRODUCTIVE:
+    while state.probe():
         pass
     hubs = HUBS
     while state.finish(hubs):
