@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bits as bits_
 from . import flat
 from .store import materialize, table
 
@@ -117,8 +118,12 @@ def _bit_table(windows: DataFrame) -> tuple[bytes, list[int]]:
     return bits.tobytes(), sorted(r["len"] for r in windows.select("len").distinct().collect())
 
 
+def _text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")), F.octet_length(text))
+
+
 def document_windows(docs: DataFrame, bits: bytes, lengths: list[int]) -> DataFrame:
-    """(rid, doc_id, n_words, found): candidate windows of every document."""
+    """(rid, doc_id, h, n_words, found): candidate windows of every document; ``h`` is a hash of its text."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(bits)
 
@@ -127,15 +132,15 @@ def document_windows(docs: DataFrame, bits: bytes, lengths: list[int]) -> DataFr
         hit = lambda fp: bit[fp & np.uint64((1 << BITS) - 1)]
         kind = pa.list_(pa.struct([("at", pa.int32()), ("len", pa.int32()), ("fp", pa.int64()), ("win", pa.string())]))
         for b in batches:
-            counts, found = _scan(b.column(2), lengths, hit)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(counts, pa.int64()), pa.array(found, kind)], ["rid", "doc_id", "n_words", "found"])
+            counts, found = _scan(b.column(3), lengths, hit)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(counts, pa.int64()), pa.array(found, kind)], ["rid", "doc_id", "h", "n_words", "found"])
 
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return rows.mapInArrow(scan, f"rid bigint, doc_id bigint, n_words bigint, found {_FOUND}")
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("bigint").alias("doc_id"), _text_hash(F.col("text")).alias("h"), "text")
+    return rows.mapInArrow(scan, f"rid bigint, doc_id bigint, h bigint, n_words bigint, found {_FOUND}")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items; one row per document."""
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items, h; one row per document."""
     windows = materialize(benchmark_windows(benchmark), "bench-windows")
     bits, lengths = _bit_table(windows)
     scanned = materialize(document_windows(docs, bits, lengths), "doc-windows")
@@ -151,7 +156,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     zero = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).alias("to"))
     per_doc = per_doc.select("rid", "items", F.aggregate("spans", zero, step).n.alias("n_hit"))
     none = F.array().cast("array<string>")
-    out = scanned.select("rid", "doc_id", "n_words").join(per_doc, "rid", "left").withColumn("items", F.coalesce("items", none))
+    out = scanned.select("rid", "doc_id", "h", "n_words").join(per_doc, "rid", "left").withColumn("items", F.coalesce("items", none))
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("bigint")
     return out.select(
         "doc_id",
@@ -161,17 +166,27 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (n_hit > 0).alias("contaminated"),
         "items",
+        "h",
     )
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without those that hold a benchmark window; columns unchanged."""
-    bad = contamination(docs, benchmark).filter("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].cast("bigint").eqNullSafe(bad["_bad"]), "left_anti")
+    """The documents without those that hold a benchmark window; columns unchanged.
+
+    Each row is judged by its own text, whatever its doc_id: only a hash of the
+    texts that go is looked for, and only rows whose bit is set in a table of
+    bounded size are shuffled for that.
+    """
+    bad = materialize(contamination(docs, benchmark).filter("contaminated").select(F.col("h").alias("_bad")).distinct(), "contaminated")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), _text_hash(docs["text"]).alias("h"))
+    rows = bits_.marked(rows, F.col("h"), bits_.table_of(bad, "_bad"))
+    maybe = rows.filter("_maybe")
+    kept = maybe.join(bad, maybe["h"] == bad["_bad"], "left_anti").select("row").unionByName(rows.filter("NOT _maybe").select("row"))
+    return kept.select("row.*")
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items", "h")
 
 
 OP10_SQL = r"""
