@@ -12,16 +12,18 @@ line boilerplate.  So equal texts count once, and a text of which recurring
 lines make up ``COPY_SHARE`` of the tokens or more does not vote on what
 recurs; lines that recur in other texts are still dropped from it.
 
-Only DataFrame functions are used.  What is shuffled is hashes of lines; texts
-move once, for the final join.  Counts are pre-aggregated before every
-shuffle, so a line in a third of all documents is one row per map task.  The
-one broadcast is a bit table of at most ``SLOTS / 64`` rows.  Lines are known
-by 64-bit hashes.
+Only DataFrame functions are used.  What is shuffled is hashes of lines; of
+texts only those with something to drop move, for the final join, whose both
+sides are plain tables, so Spark splits the copies of one text.  Counts are
+pre-aggregated before every shuffle, so a line in a third of all documents is
+one row per map task.  What is broadcast are bit tables of at most ``SLOTS /
+64`` rows.  Lines are known by 64-bit hashes.
 
 Defined cases: null text stays null with no lines; blank lines and lines of
 fewer than ``MIN_TOKENS`` tokens are never dropped; documents keep their row
 even if no line stays; repeated rows are treated alike; an empty table gives
-no rows; other columns pass through, whatever their names.
+no rows; very long texts and lines are read whole; other columns pass through,
+whatever their names, but for two that carry the names of the counts.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bits
 from .store import materialize, table
 
 DEPTH = 4
@@ -126,22 +129,30 @@ def dropped_templates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return hits, gone
 
 
-def drop_templates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The documents with recurring lines dropped; adds n_lines and n_dropped."""
-    plain = docs.select(F.col(text).alias("text"))
-    hits, gone = dropped_templates(plain)
-    bad = hits.join(gone, "g", "left_semi").groupBy("k").agg(F.collect_set("t").alias("_bad"))
-    keyed = docs.withColumn("_k", F.xxhash64(F.col(text)))
-    joined = keyed.join(bad.hint("shuffle_hash"), keyed["_k"] == bad["k"], "left").drop("k", "_k")
-    # only lines of MIN_TOKENS tokens or more have their hash in _bad
-    stays = F.filter(F.split(F.col(text), "\n"), lambda x: ~F.array_contains(F.col("_bad"), F.xxhash64(_masked(x))))
-    out = joined.withColumn("_kept", F.when(F.col("_bad").isNotNull(), stays))
-    out = out.withColumn("_left", F.when(F.col("_bad").isNull(), F.col(text)).otherwise(F.array_join("_kept", "\n")))
-    breaks = F.octet_length(F.col(text)) - F.octet_length(F.replace(F.col(text), F.lit("\n"), F.lit("")))
-    n_lines = F.coalesce(F.when(F.col(text) != "", breaks + 1), F.lit(0)).cast("long")
-    n_left = F.when(F.col("_bad").isNull(), n_lines).otherwise(F.size("_kept").cast("long"))
-    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    return out.select(*[F.col("_left").alias(c) if c == text else F.col(c) for c in names], n_lines.alias("n_lines"), (n_lines - n_left).alias("n_dropped"))
+def drop_templates(docs: DataFrame, text: str = "text", counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+    """The documents with recurring lines dropped; adds two columns, lines and dropped lines, named ``counts``.
+
+    A column of the input that has one of these names gives way; name them
+    otherwise to keep it.
+    """
+    hits, gone = dropped_templates(docs.select(docs[text].alias("text")))
+    bad = materialize(hits.join(gone, "g", "left_semi").groupBy("k").agg(F.collect_set("t").alias("bad")), "line-bad")
+    names = [c for c in docs.columns if c not in counts]
+    rows = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), docs[text].alias("text"))
+    # null texts have no lines and meet nothing; only texts whose bit is set are shuffled
+    rows = bits.marked(rows.withColumn("k", F.when(F.col("text").isNotNull(), F.xxhash64("text"))), F.coalesce("k", F.lit(0)), bits.table_of(bad, "k"), name="maybe")
+    near = rows.filter("maybe AND text IS NOT NULL").join(bad, "k", "left").select("row", "text", "bad")
+    far = rows.filter("NOT maybe OR text IS NULL").select("row", "text", F.lit(None).cast("array<bigint>").alias("bad"))
+    # only lines of MIN_TOKENS tokens or more have their hash in bad
+    stays = F.filter(F.split("text", "\n"), lambda x: ~F.array_contains(F.col("bad"), F.xxhash64(_masked(x))))
+    near = near.withColumn("kept", F.when(F.col("bad").isNotNull(), stays))
+    near = near.select("row", "text", F.size("kept").cast("long").alias("n_left"), F.when(F.col("bad").isNull(), F.col("text")).otherwise(F.array_join("kept", "\n")).alias("left"), F.col("bad").isNull().alias("whole"))
+    out = near.unionByName(far.select("row", "text", F.lit(None).cast("long").alias("n_left"), F.col("text").alias("left"), F.lit(True).alias("whole")))
+    breaks = F.octet_length("text") - F.octet_length(F.replace(F.col("text"), F.lit("\n"), F.lit("")))
+    n_lines = F.coalesce(F.when(F.col("text") != "", breaks + 1), F.lit(0)).cast("long")
+    dropped = F.when(F.col("whole"), F.lit(0)).otherwise(n_lines - F.col("n_left")).cast("long")
+    made = [F.col("left").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in names]
+    return out.select(*made, n_lines.alias(counts[0]), dropped.alias(counts[1]))
 
 
 def op5_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
