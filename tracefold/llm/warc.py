@@ -12,14 +12,16 @@ do.  Files are gzip, which Spark does not split, so a reader sees a file's
 pieces in order and joins the pieces of a record until its Content-Length is
 reached; memory is a few records.
 
-Equal payloads meet by pre-aggregated digests, never as a list of pages, so a
-payload shared by a third of all pages is one row.
+Equal payloads meet by pre-aggregated digests, never as a list of pages.  Only
+records whose digest may occur again are joined with the response of theirs, as
+plain tables, so Spark splits the copies of one payload over tasks.
 
 Defined cases: null html is an empty payload; with ``min_bytes`` above 0,
 smaller payloads are all responses; of repeated rows (same page_id and payload)
 exactly one is the response; null page_ids come last in the choice; null url
-is written as an empty target; other columns are ignored; an empty table gives
-an empty archive and no rows.  Line breaks in urls are percent-encoded.
+is written as an empty target; very long payloads are held whole, one at a
+time; other columns are ignored, whatever their names; an empty table gives an
+empty archive and no rows.  Line breaks in urls are percent-encoded.
 """
 
 from __future__ import annotations
@@ -33,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bits
 from .store import materialize, new_path, table
 
 VERSION = "WARC/1.1"
@@ -48,23 +51,14 @@ def payload_digest(payload: bytes) -> str:
 
 
 def resolve(headers: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """(rid, page_id, digest, n_bytes) -> adds record_type, refers_to, target_url of the response.
+    """(digest, n_bytes, first) of the payloads that several records have; ``first`` is the record that answers for them.
 
-    The response of a digest is found by a minimum with map-side sums; the join
-    back has one row per digest on its right side.
+    A minimum with map-side sums: a digest that a third of all records share is
+    a row for each map task.
     """
     order = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "rid", "url")
     shared = headers.filter(F.col("n_bytes") >= min_bytes)
-    first = shared.groupBy("digest", "n_bytes").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
-    joined = headers.join(first, ["digest", "n_bytes"], "left")
-    revisit = F.col("first").isNotNull() & (F.col("first.rid") != F.col("rid"))
-    return joined.select(
-        "rid",
-        F.when(revisit, "revisit").otherwise("response").alias("record_type"),
-        F.when(revisit, F.col("first.page_id")).alias("refers_to"),
-        F.when(revisit, F.col("first.rid")).alias("refers_rid"),
-        F.when(revisit, F.col("first.url")).alias("refers_url"),
-    )
+    return shared.groupBy("digest", "n_bytes").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
 
 
 def _record_id(rid: int) -> str:
@@ -95,20 +89,29 @@ def record(rid: int, page_id: int | None, url: str | None, payload: bytes, kind:
     return "\r\n".join([*head, f"Content-Length: {len(block)}"]).encode() + b"\r\n\r\n" + block
 
 
-def page_headers(pages: DataFrame) -> DataFrame:
-    html = F.coalesce("html", F.lit("")).cast("binary")
-    return pages.select(F.monotonically_increasing_id().alias("rid"), F.col("page_id").cast("bigint").alias("page_id"), "url", F.sha1(html).alias("digest"), F.octet_length(html).cast("long").alias("n_bytes"))
+def numbered(pages: DataFrame) -> DataFrame:
+    """The pages with record number, digest and length, written once, so that later reads agree on the numbers."""
+    html = F.coalesce("html", F.lit(""))
+    rows = pages.select(F.monotonically_increasing_id().alias("rid"), F.col("page_id").cast("bigint").alias("page_id"), "url", html.alias("html"))
+    body = F.col("html").cast("binary")
+    return materialize(rows.withColumn("digest", F.sha1(body)).withColumn("n_bytes", F.octet_length(body).cast("long")), "warc-pages")
 
 
 def write_archive(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES) -> None:
     """Write one record per page to gzip archives below ``path``, equal payloads once.
 
-    The rows of ``pages`` are read twice and must come in the same order both
-    times, as those of a table do.
+    Only records whose digest may occur again are joined with the responses.
     """
-    kinds = resolve(page_headers(pages), min_bytes)
-    rows = pages.select(F.monotonically_increasing_id().alias("rid"), F.col("page_id").cast("bigint").alias("page_id"), "url", "html").join(kinds, "rid")
-    rows = rows.select("rid", "page_id", "url", F.coalesce("html", F.lit("")).alias("html"), "record_type", "refers_to", "refers_rid", "refers_url")
+    rows = numbered(pages)
+    first = materialize(resolve(rows.select("rid", "page_id", "url", "digest", "n_bytes"), min_bytes), "warc-responses")
+    h = F.xxhash64("digest", "n_bytes")
+    rows = bits.marked(rows, h, bits.table_of(first.select(h.alias("h")), "h"))
+    joined = rows.filter("_maybe").join(first, ["digest", "n_bytes"], "left")
+    revisit = F.col("first").isNotNull() & (F.col("first.rid") != F.col("rid"))
+    kind = lambda c: F.when(revisit, F.col(c))
+    near = joined.select("rid", "page_id", "url", "html", F.when(revisit, "revisit").otherwise("response").alias("record_type"), kind("first.page_id").alias("refers_to"), kind("first.rid").alias("refers_rid"), kind("first.url").alias("refers_url"))
+    none = lambda t: F.lit(None).cast(t)
+    far = rows.filter("NOT _maybe").select("rid", "page_id", "url", "html", F.lit("response").alias("record_type"), none("bigint").alias("refers_to"), none("bigint").alias("refers_rid"), none("string").alias("refers_url"))
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -118,21 +121,48 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES) -> No
                 out = [record(i, p, u, h.encode(), k, t, tr, tu).decode() for i, p, u, h, k, t, tr, tu in zip(*cols, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
 
-    rows.mapInArrow(put, "value string").write.option("lineSep", END).option("compression", "gzip").text(path)
+    near.unionByName(far).mapInArrow(put, "value string").write.option("lineSep", END).option("compression", "gzip").text(path)
+
+
+class _Reader:
+    """Joins the pieces of a stream until a record's Content-Length is reached; each byte is looked at once."""
+
+    def __init__(self):
+        self.pieces: list[bytes] = []
+        self.size = 0
+        self.need = 0
+
+    def feed(self, piece: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+        self.pieces.append(piece)
+        self.size += len(piece)
+        while self.size and self.size >= self.need:
+            held = b"".join(self.pieces).lstrip(b"\r\n")
+            r = parse(held)
+            if isinstance(r, tuple):
+                yield r[:2]
+                held = held[r[2] :].lstrip(b"\r\n")
+            self.pieces, self.size, self.need = ([held] if held else []), len(held), 0
+            if not isinstance(r, tuple):
+                self.need = r if r else len(held) + 1
+                return
+
+    def end(self) -> None:
+        if b"".join(self.pieces).strip():
+            raise ValueError("an archive ends within a record")
 
 
-def parse(stream: bytes) -> tuple[dict[str, str], bytes, int] | None:
-    """The first record of a stream: headers, payload and length with its end; None if it is not whole yet."""
+def parse(stream: bytes) -> tuple[dict[str, str], bytes, int] | int:
+    """The first record of a stream: headers, payload and length with its end; if it is not whole, how long the stream must be (0: unknown)."""
     if len(stream) >= len(VERSION) and not stream.startswith(VERSION.encode()):
         raise ValueError("bytes outside a WARC record")
     head = stream.find(b"\r\n\r\n")
     if head < 0:
-        return None
+        return 0
     lines = stream[:head].decode().split("\r\n")[1:]
     fields = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in lines)
     to = head + 4 + int(fields["Content-Length"])
     if len(stream) < to + len(END):
-        return None
+        return to + len(END)
     return fields, stream[head + 4 : to].partition(b"\r\n\r\n")[2], to + len(END)
 
 
@@ -145,24 +175,16 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     def get(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["record_id", "page_id", "record_type", "target_uri", "refers_to_id", "declared", "digest", "n_bytes", "payload"]
         kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string()]
-        held = b""
+        reader = _Reader()
         for b in batches:
             out = []
             for piece in b.column(0):
-                # what the reader took as a separator may have been part of a payload
-                held += piece.as_py().encode() + END.encode()
-                while True:
-                    held = held.lstrip(b"\r\n")
-                    r = parse(held)
-                    if r is None:
-                        break
-                    f, p, n = r
-                    held = held[n:]
+                # what Spark took as a separator may have been part of a payload
+                for f, p in reader.feed(piece.as_py().encode() + END.encode()):
                     page = f.get("X-Page-ID", "")
                     out.append((f["WARC-Record-ID"], int(page) if page else None, f["WARC-Type"], f.get("WARC-Target-URI"), f.get("WARC-Refers-To"), f.get("WARC-Payload-Digest", "").removeprefix("sha1:"), payload_digest(p), len(p), p.decode()))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], names)
-        if held.strip():
-            raise ValueError("an archive ends within a record")
+        reader.end()
 
     return spark.read.option("lineSep", END).text(path).mapInArrow(get, _RECORD)
 
