@@ -9,9 +9,10 @@ truncated to the limit; prefix shares give quantiles.  The sums are two-level
 The tokenizer is one of the public vocabularies; its path is a parameter and
 the file is read where the task runs.  Texts are encoded whole.
 
-Defined cases: null and empty texts have length 0; repeated rows count each;
-special-token strings are ordinary text; an empty table gives no rows; other
-columns are ignored.
+Defined cases: null and empty texts have length 0; very long texts are encoded
+whole, one at a time; repeated rows count each; special-token strings are
+ordinary text; an empty table gives no rows; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -89,23 +90,32 @@ def length_histogram(lengths: DataFrame) -> DataFrame:
 
 
 def truncated_totals(histogram: DataFrame, limits: Sequence[int]) -> DataFrame:
-    """(limit, total_tokens, truncated_tokens, docs_longer) for any context limits, from the histogram alone."""
-    spark = histogram.sparkSession
-    asked = spark.createDataFrame([(int(x),) for x in limits], "limit bigint")
-    per = histogram.select(F.explode(F.array(*[F.lit(int(x)) for x in limits])).alias("limit"), "length", "n_docs")
-    per = per.withColumn("limit", F.col("limit").cast("bigint"))
-    sums = per.groupBy("limit").agg(
-        F.sum(F.col("length") * F.col("n_docs")).alias("total_tokens"),
-        F.sum(F.least("length", "limit") * F.col("n_docs")).alias("truncated_tokens"),
-        F.sum(F.when(F.col("length") > F.col("limit"), F.col("n_docs")).otherwise(0)).alias("docs_longer"),
-    )
-    return asked.distinct().join(sums, "limit", "left").na.fill(0)
+    """(limit, total_tokens, truncated_tokens, docs_longer) for any context limits, from the suffix sums.
+
+    The shortest length over a limit holds all that is longer: how many
+    documents, and their tokens.
+    """
+    asked = sorted({int(x) for x in limits})
+    over = [F.min(F.when(F.col("length") > x, F.struct("length", "docs_at_least", "tokens_at_least"))).alias(f"o{i}") for i, x in enumerate(asked)]
+    one = histogram.agg(F.coalesce(F.max("total_tokens"), F.lit(0)).alias("total"), *over)
+    rows = [
+        F.struct(
+            F.lit(x).cast("bigint").alias("limit"),
+            F.col("total").alias("total_tokens"),
+            (F.col("total") - F.coalesce(F.col(f"o{i}.tokens_at_least"), F.lit(0)) + F.coalesce(F.col(f"o{i}.docs_at_least"), F.lit(0)) * x).alias("truncated_tokens"),
+            F.coalesce(F.col(f"o{i}.docs_at_least"), F.lit(0)).alias("docs_longer"),
+        )
+        for i, x in enumerate(asked)
+    ]
+    return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
 def quantiles(histogram: DataFrame, shares: Sequence[float]) -> DataFrame:
-    """(share, length): the smallest length that at least that share of documents do not exceed."""
-    asked = F.explode(F.array(*[F.lit(float(x)) for x in shares])).alias("share")
-    return histogram.select(asked, "length", "share_at_most").filter(F.col("share_at_most") >= F.col("share")).groupBy("share").agg(F.min("length").alias("length"))
+    """(share, length): the smallest length that at least that share of documents do not exceed; no rows for an empty table."""
+    asked = sorted({float(x) for x in shares})
+    one = histogram.agg(*[F.min(F.when(F.col("share_at_most") >= x, F.col("length"))).alias(f"q{i}") for i, x in enumerate(asked)])
+    rows = [F.struct(F.lit(x).alias("share"), F.col(f"q{i}").alias("length")) for i, x in enumerate(asked)]
+    return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*").filter("length is not null")
 
 
 def op3_token_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
