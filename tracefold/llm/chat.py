@@ -10,20 +10,21 @@ remains is rendered with role markers.
 Only DataFrame functions are used.  A hot first turn or a much copied
 conversation costs nothing extra: prefix hashes are made distinct with
 map-side aggregation before the anti-join, so its right side has one row for
-each hash.  Turns are gathered by conversation, as the output row holds the
-whole conversation anyway.
+each hash.  Turns are ordered and hashed one by one; only conversations that
+stay are gathered, as the output row holds the whole conversation anyway.
 
 Defined cases: turns are ordered by (turn, role, text), nulls first, and turn
 numbers themselves are not compared; null role or text differs from an empty
 one in the hashes and renders as an empty string; rows with null conv_id form
-one conversation; repeated rows are repeated turns; an empty table gives no
-rows; other columns are ignored.  Marker strings inside texts are broken up by
+one conversation; repeated rows are repeated turns; very long conversations are
+hashed in one pass; an empty table gives no rows; other columns are ignored,
+whatever their names.  Marker strings inside texts are broken up by
 a space so that they cannot pose as markers.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .store import materialize, table
@@ -36,21 +37,26 @@ def _tagged(c: Column) -> Column:
 
 
 def snapshots(turns: DataFrame) -> DataFrame:
-    """One row per conversation: conv_id, turns (ordered), hashes (after each turn)."""
-    rows = turns.select("conv_id", F.struct("turn", "role", "text").alias("_t"))
-    convs = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("_t")).alias("turns"))
-    step = lambda acc, x: F.array_append(acc, F.md5(F.concat(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit("")), _tagged(x.role), _tagged(x.text))))
-    return convs.withColumn("hashes", F.aggregate("turns", F.array().cast("array<string>"), step))
+    """Every turn with its place k in its conversation of n turns, and the rolling hash (p, q) up to it.
 
+    The hash is a running exclusive-or of each turn's hash with its place, 120
+    bits of MD5: one pass over the ordered turns, however many they are.
+    """
+    order = [F.asc_nulls_first("turn"), F.asc_nulls_first("role"), F.asc_nulls_first("text")]
+    rows = turns.select("conv_id", "turn", "role", "text")
+    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("conv_id").orderBy(*order))).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("conv_id")))
+    own = F.md5(F.concat(F.col("k").cast("string"), F.lit(" "), _tagged(F.col("role")), _tagged(F.col("text"))))
+    half = lambda at: F.conv(F.substring("_h", at, 15), 16, 10).cast("bigint")
+    upto = Window.partitionBy("conv_id").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_h", own).withColumn("_a", half(1)).withColumn("_b", half(16))
+    return rows.withColumn("p", F.bit_xor("_a").over(upto)).withColumn("q", F.bit_xor("_b").over(upto)).drop("_h", "_a", "_b", "turn")
 
-def maximal(convs: DataFrame) -> DataFrame:
-    """Drop the conversations that are prefixes of longer ones, and all but one of equal ones."""
-    ends = convs.select("conv_id", F.element_at("hashes", -1).alias("_end"), F.size("hashes").alias("_n"), "hashes")
-    prefixes = ends.filter("_n > 1").select(F.explode(F.slice("hashes", 1, F.col("_n") - 1)).alias("_end")).distinct()
-    kept = ends.groupBy("_end").agg(F.min(F.struct(F.col("conv_id").isNull().alias("no_id"), "conv_id")).alias("_least"), F.count(F.lit(1)).alias("n_copies"))
-    kept = kept.join(prefixes, "_end", "left_anti").select("_end", F.col("_least.conv_id").alias("_id"), "n_copies")
-    full = convs.withColumn("_end", F.element_at("hashes", -1))
-    return full.join(kept, (full["_end"] == kept["_end"]) & full["conv_id"].eqNullSafe(kept["_id"])).select("conv_id", "turns", "n_copies")
+
+def maximal(turns: DataFrame) -> DataFrame:
+    """(conv_id, n, n_copies) of the conversations that are no prefix of a longer one, and of equal ones the first."""
+    ends = turns.filter("k = n").groupBy("p", "q", "n").agg(F.min(F.struct(F.col("conv_id").isNull().alias("no_id"), "conv_id")).alias("_least"), F.count(F.lit(1)).alias("n_copies"))
+    prefixes = turns.filter("k < n").select("p", "q", F.col("k").alias("n")).distinct()
+    return ends.join(prefixes, ["p", "q", "n"], "left_anti").select(F.col("_least.conv_id").alias("conv_id"), "n", "n_copies")
 
 
 def render(turns: Column) -> Column:
@@ -61,8 +67,10 @@ def render(turns: Column) -> Column:
 
 def collapse_and_render(turns: DataFrame) -> DataFrame:
     """conv_id, n_turns, n_copies, rendered: the maximal conversations."""
-    convs = materialize(snapshots(turns), "chat-snapshots")
-    return maximal(convs).select("conv_id", F.size("turns").cast("long").alias("n_turns"), "n_copies", render(F.col("turns")).alias("rendered"))
+    rows = materialize(snapshots(turns), "chat-snapshots")
+    kept = maximal(rows).withColumnRenamed("conv_id", "_id").select("_id", "n_copies")
+    mine = rows.join(kept, rows["conv_id"].eqNullSafe(kept["_id"])).groupBy("conv_id", "n_copies").agg(F.sort_array(F.collect_list(F.struct("k", "role", "text"))).alias("turns"))
+    return mine.select("conv_id", F.size("turns").cast("long").alias("n_turns"), "n_copies", render(F.col("turns")).alias("rendered"))
 
 
 def op9_chat_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
