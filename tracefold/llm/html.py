@@ -17,14 +17,21 @@ Only (host, path) counts are shuffled by host, with map-side sums, so a host
 with a third of all pages costs one row per map task.  The winners, a row per
 host, are joined to the pages by Spark's choice of join.
 
+Every element may be marked: containers with all they hold, paragraphs and
+headings up to the next block, elements inside a line by fewer words and without
+breaking the line.  Inside an article a header and its names are no marks.
+
 Defined cases: null html is an empty page with text ``""``; null url is the
-host ``""``; pages without markup are one block; repeated rows are kept; an
-empty table gives no rows; other columns are ignored.  White space is what
+host ``""``; pages without markup are one block; very long or deep pages are
+read in time and memory by their size, and paths deeper than DEEPEST are known
+by a hash; repeated rows are kept; an empty table gives no rows; other columns
+are ignored, whatever their names.  White space is what
 Unicode calls so; ``<br>`` is white space inside its block.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from collections.abc import Iterator
@@ -37,7 +44,7 @@ from pyspark.sql import functions as F
 from .store import materialize, table
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|</?[a-zA-Z](?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|</?[a-zA-Z][^>]*+>|<[!?/][^>]*+>",
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|</?[a-zA-Z](?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+>|</?[a-zA-Z][^<>]*+>|<[!?/][^<>]*+>",
     re.S,
 )
 NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
@@ -50,7 +57,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes".split())
 CONTAINERS = frozenset("html body div article main section center table tbody tr td th ul ol dl li aside nav header footer form fieldset dialog menu search details figure blockquote".split())
 BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 pre hr dt dd thead tfoot caption figcaption address summary hgroup legend option select optgroup".split())
-BOILERPLATE = frozenset("nav aside footer form menu dialog search script style textarea title noscript template iframe svg canvas object button select option head map math audio video".split())
+BOILERPLATE = frozenset("nav aside footer form menu dialog search script style textarea title noscript template iframe svg canvas object button select option head map audio video".split())
 #: fixed values: words of class and id names, and roles, that mark boilerplate
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising banner banners sponsor sponsored promo promotion sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs footer "
@@ -58,17 +65,20 @@ MARKS = frozenset(
     "widget toolbar pagination pager skip login".split()
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
-#: a class of these is never boilerplate whatever else it says
+#: a class name with one of these words is boilerplate only if its last word says so
 KEEPS = frozenset("body content article post entry main story".split())
+#: fixed values: words that do not mark a paragraph or heading, and those that alone mark an element inside a line
+HEADINGS = frozenset("header masthead topbar banner banners".split())
+INLINE = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent popup modal newsletter subscribe signup share sharing skip".split())
 ANCESTRY = frozenset(("html", "body", "article", "main"))
 #: marks that are taken back: readily, for more text than is unmarked, for the only text, never
 LOOSE, FIRM, HIDDEN, FINAL = 1, 2, 3, 4
 SECTIONS = frozenset("nav aside footer header search".split())
 
 
-@dataclass
+@dataclass(eq=False, slots=True)
 class Node:
-    """A container: its parent, path, own mark, and whether it or something above it is boilerplate."""
+    """A container or a marked element: its parent, path, own mark, and whether it or something above it is boilerplate."""
 
     parent: Node | None
     tag: str
@@ -76,17 +86,48 @@ class Node:
     mark: int
     bad: bool
     article: bool
+    depth: int = 0
+    inline: bool = False
+    in_paragraph: bool = False
+
+
+#: a path that is deeper or longer is known by its hash, so that deep pages take memory by their size
+DEEPEST, LONGEST = 64, 2048
+
+
+def _path(top: Node, step: str) -> str:
+    whole = f"{top.path}/{step}"
+    if top.depth < DEEPEST and len(whole) <= LONGEST:
+        return whole
+    return "#" + hashlib.blake2b(whole.encode(), digest_size=12).hexdigest()
 
 
 def _is_article(tag: str, attributes: dict[str, str]) -> bool:
     return tag in ("article", "main") or attributes.get("role") == "main" or attributes.get("itemprop") == "articleBody"
 
 
+def _named(attributes: dict[str, str], marks: frozenset[str]) -> bool:
+    """Whether a class or id name marks boilerplate.
+
+    A name that says nothing but the mark always does; one that also has a word
+    of KEEPS does by its last word; where another name is a word of KEEPS alone,
+    only the first kind does.
+    """
+    names = [WORDS.findall(n) for n in f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split()]
+    keep = any(n and all(w in KEEPS for w in n) for n in names)
+    for n in names:
+        if not any(w in marks for w in n):
+            continue
+        if all(w in marks for w in n) or not keep and (n[-1] in marks or not any(w in KEEPS for w in n)) or any(w in KEEPS for w in n) and n[-1] in marks:
+            return True
+    return False
+
+
 def _boilerplate(tag: str, attributes: dict[str, str], in_article: bool) -> int:
     """The mark of an element, 0 for none."""
     if tag in SECTIONS and (tag != "header" or not in_article):
         return FIRM
-    if tag in BOILERPLATE and tag != "form":
+    if tag in BOILERPLATE and tag not in ("form", "header"):
         return FINAL
     if "hidden" in attributes or attributes.get("aria-hidden") == "true":
         return HIDDEN
@@ -94,51 +135,85 @@ def _boilerplate(tag: str, attributes: dict[str, str], in_article: bool) -> int:
         return LOOSE
     if tag in ANCESTRY or _is_article(tag, attributes):
         return 0
-    names = WORDS.findall(f"{attributes.get('class', '')} {attributes.get('id', '')}".lower())
-    return LOOSE if any(n in MARKS for n in names) and not any(n in KEEPS for n in names) else 0
+    if tag not in BLOCKS:
+        marks = INLINE
+    elif tag not in CONTAINERS or in_article:
+        marks = MARKS - HEADINGS
+    else:
+        marks = MARKS
+    return LOOSE if _named(attributes, marks) else 0
+
+
+def _marked_above(node: Node, known: dict[int, Node | None]) -> Node | None:
+    """The nearest marked element at or above a node; each node is passed once."""
+    passed, n = [], node
+    while n is not None and not n.mark and id(n) not in known:
+        passed.append(n)
+        n = n.parent
+    found = n if n is None or n.mark else known[id(n)]
+    for p in passed:
+        known[id(p)] = found
+    return found
 
 
 def _unmark(blocks: list[tuple[Node, str, int]]) -> None:
     """Take back the marks of containers that hold the main text; see above."""
     while not any(node.article and not node.bad and len(t) > link for node, t, link in blocks):
-        free, held, articles = 0, {}, set()
+        free, held, known, articles = 0, {}, {}, {}
         for node, t, link in blocks:
-            score, inner, n = len(t) - link, None, node
-            while n is not None and not n.mark:
-                inner = n if n.article else inner
-                n = n.parent
+            score, n = len(t) - link, _marked_above(node, known)
             if n is None:
                 free += score
             elif score:
                 of = held.setdefault(id(n), [0, n, {}])
                 of[0] += score
-                if n.article:  # the mark is inside an article, or on one
-                    inner = None if n.parent.article else n
+                inner = _outermost_article(node, n, articles)
                 if inner is not None:
                     of[2][id(inner)] = inner
-                    articles.add(id(inner))
+        every = {i for _, _, inner in held.values() for i in inner}
         found = []
         for score, n, inner in held.values():
-            named = n.mark == LOOSE and len(articles) == 1 and inner or n.mark in (LOOSE, FIRM) and any(i.tag != "article" for i in inner.values())
+            named = n.mark == LOOSE and len(every) == 1 and inner or n.mark in (LOOSE, FIRM) and any(i.tag != "article" for i in inner.values())
             if named or n.mark in (LOOSE, FIRM) and score > free or n.mark == HIDDEN and not free:
                 found.append((bool(named), score, n))
         if not found:
             return
         max(found, key=lambda x: x[:2])[2].mark = 0
+        known = {}
         for node, _, _ in blocks:
-            n = node
-            while n is not None and not n.mark:
-                n = n.parent
-            node.bad = n is not None
+            node.bad = _marked_above(node, known) is not None
+
+
+def _outermost_article(node: Node, mark: Node, known: dict[int, Node | None]) -> Node | None:
+    """The outermost article between a node and the marked element above it; none if the mark itself is inside one."""
+    if mark.article:
+        return None if mark.parent is not None and mark.parent.article else mark
+    passed, n = [], node
+    while n is not mark and n.article and id(n) not in known:
+        passed.append(n)
+        n = n.parent
+    top = known[id(n)] if id(n) in known else (passed[-1] if passed else None)
+    for p in passed:
+        known[id(p)] = top
+    return top
 
 
 def parse(page: str) -> list[tuple[Node, str, int]]:
-    """Blocks of text in page order: their container, text, and how much of it is link text."""
+    """Blocks of text in page order: their container, text, and how much of it is link text.
+
+    Containers are on a stack; so are marked elements inside a line, whose text
+    is left out without breaking the block.  A marked paragraph or heading is a
+    node of its own until the next block begins.
+    """
     root = Node(None, "", "", 0, False, False)
     stack: list[Node] = [root]
+    paths: dict[str, str] = {}
+    opened: dict[str, int] = {}  # tags on the stack
     blocks: list[tuple[Node, str, int]] = []
     text: list[str] = []
-    links, hidden, link_chars = 0, 0, 0  # open <a>, open inline boilerplate
+    links, hidden, link_chars = 0, 0, 0  # open <a>, marked elements inside a line
+    paragraph = False  # whether a block that is no container is open
+    here: Node | None = None  # the marked paragraph or heading that is open
     at = 0
 
     def flush() -> None:
@@ -146,7 +221,7 @@ def parse(page: str) -> list[tuple[Node, str, int]]:
         if text:
             t = " ".join(entities.unescape("".join(text)).split())
             if t:
-                blocks.append((stack[-1], t, min(link_chars, len(t))))
+                blocks.append((here or stack[-1], t, min(link_chars, len(t))))
             text.clear()
         link_chars = 0
 
@@ -157,6 +232,18 @@ def parse(page: str) -> list[tuple[Node, str, int]]:
             if links:
                 link_chars += len(piece.strip())
 
+    def push(node: Node) -> None:
+        nonlocal hidden
+        stack.append(node)
+        opened[node.tag] = opened.get(node.tag, 0) + 1
+        hidden += node.inline
+
+    def pop() -> None:
+        nonlocal hidden
+        node = stack.pop()
+        opened[node.tag] -= 1
+        hidden -= node.inline
+
     size = len(page)
     while at < size:
         m = TOKEN.search(page, at)
@@ -175,15 +262,19 @@ def parse(page: str) -> list[tuple[Node, str, int]]:
             at = end.end() if end else size
             continue
         if tag in BLOCKS:
+            while stack[-1].inline and stack[-1].in_paragraph:
+                pop()
             flush()
-            links = hidden = 0
+            links, here = 0, None
+            paragraph = not closing and tag not in CONTAINERS and tag not in VOID
         if closing:
-            if tag in CONTAINERS or tag in BOILERPLATE:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag == tag:
-                        flush()
-                        del stack[i:]
-                        break
+            if opened.get(tag) and (tag in CONTAINERS or tag in BOILERPLATE or any(n.inline for n in stack[-1:])):
+                inline = stack[-1].inline and stack[-1].tag == tag
+                if not inline:
+                    flush()
+                while stack[-1].tag != tag:
+                    pop()
+                pop()
             if tag == "a" and links:
                 links -= 1
             continue
@@ -193,42 +284,62 @@ def parse(page: str) -> list[tuple[Node, str, int]]:
             links += 1
         if tag in VOID:
             continue
+        attributes = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(token)}
+        if "hidden" in token and re.search(r"\shidden(?=[\s>/=])", token):
+            attributes["hidden"] = ""
+        if tag == "li" and stack[-1].tag == "li":
+            pop()
+        top = stack[-1]
+        mark = _boilerplate(tag, attributes, top.article)
         if tag in CONTAINERS or tag in BOILERPLATE:
             flush()
-            attributes = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(token)}
-            if re.search(r"\shidden(?=[\s>/])", token):
-                attributes["hidden"] = ""
-            if tag == "li" and stack[-1].tag == "li":
-                stack.pop()
-            top = stack[-1]
             article = top.article or _is_article(tag, attributes)
-            classes = ".".join(sorted(DIGITS.sub("#", attributes.get("class", "")).split()))
-            path = f"{top.path}/{tag}.{classes}" if classes else f"{top.path}/{tag}"
+            classes = ".".join(sorted(DIGITS.sub("#", attributes.get("class", "")).replace("/", "|").split()))
+            path = _path(top, f"{tag}.{classes}" if classes else tag)
             if not token.endswith("/>") or tag in CONTAINERS:
-                mark = _boilerplate(tag, attributes, top.article)
-                stack.append(Node(top, tag, path, mark, top.bad or mark > 0, article))
+                push(Node(top, tag, paths.setdefault(path, path), mark, top.bad or mark > 0, article, top.depth + 1))
+        elif mark and tag in BLOCKS:
+            here = Node(top, tag, top.path, mark, True, top.article, top.depth + 1)
+        elif mark and not token.endswith("/>"):
+            push(Node(top, tag, top.path, mark, True, top.article, top.depth + 1, True, paragraph))
+        elif top.inline and tag == top.tag and not token.endswith("/>"):
+            push(Node(top, tag, top.path, 0, True, top.article, top.depth + 1, True, top.in_paragraph))
     flush()
     _unmark(blocks)
     return blocks
 
 
 def vote(blocks: list[tuple[Node, str, int]]) -> tuple[str, int]:
-    """The path of the lowest container that holds all the main text, and the score of that text."""
-    total, pick, last = 0, None, None
-    above: set[int] = set()  # pick and what is above it
+    """The path of the lowest container that holds all the main text, and the score of that text.
+
+    The container only moves up, and what is known to lie below it is not
+    climbed again, so each node is passed once.
+    """
+    total, pick = 0, None
+    above: set[int] = set()  # what is above pick
+    below: set[int] = set()  # pick, and what is known to lie below it
     for node, t, link in blocks:
         score = 0 if node.bad else len(t) - link
         total += score
-        if not score or node is last:
+        if not score:
+            continue
+        if pick is None:
+            pick = node
+            below.add(id(node))
+            n = node.parent
+            while n is not None:
+                above.add(id(n))
+                n = n.parent
             continue
-        last = node
-        while pick is not None and node is not None and id(node) not in above:
-            node = node.parent
-        if node is not pick:
-            pick, above = node, set()
-            while node is not None:
-                above.add(id(node))
-                node = node.parent
+        n = node
+        while id(n) not in below and id(n) not in above:
+            below.add(id(n))
+            n = n.parent
+        if id(n) in above:
+            while pick is not n:
+                pick = pick.parent
+                above.discard(id(pick))
+                below.add(id(pick))
     if pick is None:
         return "", 0
     while pick.tag in ("li", "td", "th", "tr", "tbody", "blockquote", "figure") and pick.parent is not None:
@@ -246,14 +357,18 @@ def extract(blocks: list[tuple[Node, str, int]], path: str | None) -> str:
     own, score = vote(blocks)
 
     def under(p: str) -> list[tuple[Node, str, int]]:
-        out = []
+        out, known = [], {}
         for node, t, link in blocks:
             if node.bad:
                 continue
-            n = node
-            while n is not None and n.path != p:
+            passed, n = [], node
+            while n is not None and n.path != p and id(n) not in known:
+                passed.append(n)
                 n = n.parent
-            if n is not None:
+            inside = n is not None and known.get(id(n), True)
+            for x in passed:
+                known[id(x)] = inside
+            if inside:
                 out.append((node, t, link))
         return out
 
