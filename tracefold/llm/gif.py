@@ -1,12 +1,12 @@
 """GIF media columns: LZW code streams, palettes, disposal, transparency, timed frames.
 
-``encode`` stores 8-bit samples as an animated GIF (palette of 256 greys);
+``encode`` stores 8-bit samples as an animated GIF (palette of 256 colours);
 ``decode`` reads any GIF87a/89a: variable-width LZW with clear codes and full
 tables, global and local palettes, interlacing, transparency, the three
 disposal methods and delays.  ``store`` writes the media of every text as a
 table in the shared folder; ``frames`` reads stored media into one row per
-composited frame with its delay and colour histogram; ``features`` into one row
-per medium.
+composited frame with its delay and colour histogram; ``features`` stores those
+rows and gives one row per medium.
 
 Codes are packed and unpacked as whole arrays: code widths depend only on how
 many codes came since the last clear, so a run's bit positions are known
@@ -14,8 +14,9 @@ beforehand.  Memory is a few times one medium.
 
 Defined cases: null text is stored as an empty one (64 zero bytes); equal texts
 give equal media and features; very long texts become several frames; repeated
-rows and null doc_ids are kept as rows; an empty table gives no rows; media
-that cannot be read raise ValueError.
+rows and null doc_ids are kept as rows; an empty table gives no rows; other
+columns are ignored, whatever their names; media that cannot be read, end early
+or have too few samples raise ValueError.
 """
 
 from __future__ import annotations
@@ -39,6 +40,8 @@ DELAY_CS = 10
 BATCH = 256
 _MAX_RUN = 3838  # codes after a clear until a table of 4096 is full
 GREYS = bytes(v for i in range(256) for v in (i, i, i))
+#: the palette that samples are stored under: 3 bits of red, 3 of green, 2 of blue
+COLOURS = bytes(v for i in range(256) for v in ((i >> 5) * 36, (i >> 2 & 7) * 36, (i & 3) * 85))
 
 
 def _widths(low: int, n: int) -> np.ndarray:
@@ -143,7 +146,7 @@ def _expand(codes: np.ndarray, first: int) -> np.ndarray:
 
 
 def lzw_decode(data: bytes, low: int, n_pixels: int) -> bytes:
-    """Pixels of a code stream; at most n_pixels."""
+    """Pixels of a code stream, n_pixels of them; what comes after those is left out."""
     raw = np.frombuffer(data + b"\0" * 4, np.uint8)
     clear, end = 1 << low, (1 << low) + 1
     out: list[bytes] = []
@@ -160,6 +163,8 @@ def lzw_decode(data: bytes, low: int, n_pixels: int) -> bytes:
         if stop == len(codes) or codes[stop] == end:
             break
         bit = int(starts[stop + 1])
+    if have < n_pixels:
+        raise ValueError("LZW code stream ends early")
     return b"".join(out)[:n_pixels]
 
 
@@ -170,7 +175,7 @@ def _blocks(data: bytes) -> bytes:
 def encode(samples: bytes) -> bytes:
     """8-bit samples (a positive multiple of WIDTH of them) as a GIF of timed frames."""
     rows = len(samples) // WIDTH
-    out = [b"GIF89a", struct.pack("<HHBBB", WIDTH, min(rows, FRAME_ROWS), 0xF7, 0, 0), GREYS]
+    out = [b"GIF89a", struct.pack("<HHBBB", WIDTH, min(rows, FRAME_ROWS), 0xF7, 0, 0), COLOURS]
     for top in range(0, rows, FRAME_ROWS):
         part = samples[top * WIDTH : (top + FRAME_ROWS) * WIDTH]
         out += [b"\x21\xf9\x04", struct.pack("<BHB", 1 << 2, DELAY_CS, 0), b"\0", b"\x2c", struct.pack("<HHHHB", 0, 0, WIDTH, len(part) // WIDTH, 0), b"\x08", _blocks(lzw_encode(part))]
@@ -246,7 +251,7 @@ def _frames(data: bytes) -> Iterator[Frame]:
         body, at = _sub_blocks(data, at + 1)
         if not 2 <= low <= 8:
             raise ValueError("LZW code size")
-        pixels = np.frombuffer(lzw_decode(body, low, w * h).ljust(w * h, b"\0"), np.uint8).reshape(h, w)
+        pixels = np.frombuffer(lzw_decode(body, low, w * h), np.uint8).reshape(h, w)
         if f & 0x40:
             order = np.concatenate([np.arange(a, h, s) for a, s in ((0, 8), (4, 8), (2, 4), (1, 2))])
             plain = np.empty_like(pixels)
@@ -271,12 +276,7 @@ def _frames(data: bytes) -> Iterator[Frame]:
         elif before is not None:
             canvas = before
         delay, disposal, clear_index, index = 0, 0, None, index + 1
-
-
-def luminance_histogram(canvas: np.ndarray) -> np.ndarray:
-    """Pixels in 16 steps of brightness."""
-    c = canvas.reshape(-1, 3).astype(np.uint32)
-    return np.bincount((c[:, 0] * 77 + c[:, 1] * 150 + c[:, 2] * 29) >> 12, minlength=16)
+    raise ValueError("GIF without a trailer")
 
 
 def colour_histogram(canvas: np.ndarray) -> np.ndarray:
@@ -304,40 +304,48 @@ def store(docs: DataFrame) -> DataFrame:
     return materialize(rows.mapInArrow(put, "doc_id bigint, n_bytes bigint, media binary"), "gif")
 
 
+_MEDIUM = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_frames", "duration_ms"]
+_KINDS = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]
+_FRAME = "doc_id bigint, frame int, delay_ms int, disposal int, colours array<bigint>, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, n_frames bigint, duration_ms bigint"
+
+
+def _read_medium(doc: int | None, n_bytes: int, medium: bytes) -> list[tuple]:
+    """Frame rows of a medium; the first also has what holds for the whole of it."""
+    sha, size, tail, seen, rows, ms = hashlib.sha256(), 0, b"", np.zeros(64, np.int64), [], 0
+    for f in decode(medium):
+        pixels = f.pixels.tobytes()
+        sha.update(pixels)
+        size, tail, ms = size + len(pixels), pixels[-64:], ms + f.delay_cs * 10
+        colours = colour_histogram(f.canvas)
+        own = f.canvas[: f.pixels.shape[0], : f.pixels.shape[1]]
+        seen += colours if own.size == f.canvas.size else colour_histogram(own)
+        rows.append((doc, f.index, f.delay_cs * 10, f.disposal, colours.tolist()))
+    whole = (n_bytes, size, sha.hexdigest(), zlib.crc32(tail), len(medium), hashlib.sha256(medium).hexdigest(), ",".join(map(str, seen)), len(rows), ms)
+    return [r + (whole if i == 0 else (None,) * len(whole)) for i, r in enumerate(rows)]
+
+
 def frames(media: DataFrame) -> DataFrame:
-    """(doc_id, frame, delay_ms, disposal, colours): a row per composited frame with its 64-bin colour histogram."""
+    """(doc_id, frame, delay_ms, disposal, colours, ...): a row per composited frame with its colour histogram (4 x 4 x 4 bins).
+
+    The first frame's row also has the medium's lengths and digests, its number
+    of frames and duration, and ``feature``, the histogram over all frames.
+    """
+    names = ["doc_id", "frame", "delay_ms", "disposal", "colours", *_MEDIUM]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()), *_KINDS]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for doc, m in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                got = [(f.index, f.delay_cs * 10, f.disposal, colour_histogram(f.canvas).tolist()) for f in decode(m.as_buffer().to_pybytes())]
-                i, d, s, c = zip(*got, strict=True) if got else ([], [], [], [])
-                yield pa.RecordBatch.from_arrays([pa.array([doc] * len(got), pa.int64()), pa.array(i, pa.int32()), pa.array(d, pa.int32()), pa.array(s, pa.int32()), pa.array(c, pa.list_(pa.int64()))], ["doc_id", "frame", "delay_ms", "disposal", "colours"])
+            for lo in range(0, b.num_rows, BATCH):
+                part = b.slice(lo, BATCH)
+                rows = [r for doc, n, m in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), strict=True) for r in _read_medium(doc, n, m.as_buffer().to_pybytes())]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
-    return media.select("doc_id", "media").mapInArrow(read, "doc_id bigint, frame int, delay_ms int, disposal int, colours array<bigint>")
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(read, _FRAME)
 
 
 def features(media: DataFrame) -> DataFrame:
-    """One row per stored medium: payload and medium digests, and the brightness histogram of all frames."""
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_frames", "duration_ms"]
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for doc, n, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                medium = m.as_buffer().to_pybytes()
-                sha, size, tail, hist, count, ms = hashlib.sha256(), 0, b"", np.zeros(16, np.int64), 0, 0
-                for f in decode(medium):
-                    pixels = f.pixels.tobytes()
-                    sha.update(pixels)
-                    size, tail, count, ms = size + len(pixels), pixels[-64:], count + 1, ms + f.delay_cs * 10
-                    hist += luminance_histogram(f.canvas[: f.pixels.shape[0], : f.pixels.shape[1]])
-                rows.append((doc, n, size, sha.hexdigest(), zlib.crc32(tail), len(medium), hashlib.sha256(medium).hexdigest(), ",".join(map(str, hist)), count, ms))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
-
-    schema = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, n_frames bigint, duration_ms bigint"
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(read, schema)
+    """One row per stored medium, from its stored frames: payload and medium digests, and the colour histogram of all frames."""
+    return materialize(frames(media), "gif-frames").filter("frame = 0").select("doc_id", *_MEDIUM)
 
 
 def op4_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
