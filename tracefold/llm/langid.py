@@ -8,13 +8,17 @@ regression, one language against the rest, is solved in the Nystroem space of
 the landmarks' matrix, times the coefficients.
 
 The classifier is fitted on at most ``SAMPLE`` labelled rows, the first by a
-hash of doc_id, as many from each language; their presence bits (2 KB each)
-are all that comes to the driver.  Every text is read whole and scored.
+hash of doc_id, one for each doc_id and language and as many from each language
+(one at least); their presence bits (2 KB each) are all that comes to the driver.  Every
+text is read whole, in slices if it is long, and scored.
 
 Defined cases: null text or text without a letter gives ``und`` with score 0;
 rows with null doc_id count as held out; null lang is never learned; with no
-labelled row at all, every text is ``und``; texts with the same content get
-the same result; other columns are ignored or passed through.
+labelled row at all, every text is ``und``; of languages with the same score the
+first by name is predicted; texts with the same content, repeated rows among
+them, get the same result; an empty table gives no rows; other columns are
+ignored or passed through, but for columns named lang_pred or score, which give
+way (put the row into a struct column to keep them).
 """
 
 from __future__ import annotations
@@ -119,7 +123,9 @@ class Model:
 
 def _sample(docs: DataFrame) -> list:
     """(lang, bits) of at most SAMPLE rows of the training folds."""
-    rows = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("text") != "")).select("doc_id", "lang")
+    usable = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("text") != ""))
+    # of rows that share a doc_id and a language one is learned from
+    rows = usable.groupBy("doc_id", "lang").agg(F.min(F.xxhash64("text")).alias("h"))
     n = rows.select("lang").distinct().count()
     if not n:
         return []
@@ -130,7 +136,7 @@ def _sample(docs: DataFrame) -> list:
     for keys in (["lang", "_part"], ["lang"]):
         rank = F.row_number().over(Window.partitionBy(*keys).orderBy("_o", "doc_id"))
         rows = rows.withColumn("_r", rank).filter(F.col("_r") <= each)
-    chosen = rows.select("doc_id", F.col("_r").alias("r")).dropDuplicates(["doc_id"])
+    chosen = rows.select("doc_id", "lang", "h", F.col("_r").alias("r"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -138,8 +144,9 @@ def _sample(docs: DataFrame) -> list:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(bits, pa.binary())], ["doc_id", "lang", "r", "bits"])
 
     # at most SAMPLE ids, as many as languages at least: this side is bounded
-    texts = docs.select("doc_id", "lang", "text").filter("lang is not null and text is not null").join(F.broadcast(chosen), "doc_id").select("doc_id", "lang", "text", "r")
-    got = texts.mapInArrow(pack, "doc_id bigint, lang string, r int, bits binary").collect()
+    texts = usable.select("doc_id", "lang", "text", F.xxhash64("text").alias("h")).join(F.broadcast(chosen), ["doc_id", "lang", "h"]).select("doc_id", "lang", "text", "r")
+    # a row that repeats is one row here, however often it does
+    got = texts.mapInArrow(pack, "doc_id bigint, lang string, r int, bits binary").groupBy("doc_id", "lang").agg(F.first("r").alias("r"), F.first("bits").alias("bits")).collect()
     return sorted(got, key=lambda x: (x["r"], x["lang"], x["doc_id"], bytes(x["bits"])))
 
 
