@@ -2,6 +2,12 @@
 
 Each stage works on all rows its predecessor kept, is written as Parquet and
 read again by the next.  All but the last return the columns of documents.
+
+Defined cases, for every stage: rows are judged one by one by their text, so
+null or repeated doc_ids lose no other row; a null text or one without letters
+has no language and goes in the first stage, an empty table stays empty; extra
+columns pass through the first four stages whatever their names, and the last
+returns its own columns.  Of rows with equal sets of shingles one stays.
 """
 
 from __future__ import annotations
@@ -20,14 +26,18 @@ MIN_SCORE = 0.1
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep texts in a language that the classifier knows."""
-    scored = langid.predict(docs, langid.fit(docs))
-    return scored.filter((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= MIN_SCORE)).select(*docs.columns)
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["text"].alias("text"))
+    scored = langid.predict(rows, langid.fit(docs), ["row"])
+    return scored.filter((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= MIN_SCORE)).select("row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop lines of recurring templates; the documents stay."""
-    out = lines.drop_templates(docs)
-    return out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    free = lambda name: next(n for n in (name, *(f"{name}_{i}" for i in range(len(docs.columns) + 1))) if n not in docs.columns)
+    n_lines, n_dropped = free("n_lines"), free("n_dropped")
+    out = lines.drop_templates(docs, counts=(n_lines, n_dropped))
+    n_chars = F.when(F.col(n_dropped) > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))
+    return out.select(*[n_chars.alias(c) if c == "n_chars" else out[c] for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +63,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("source_mixing", mix),
 ]
 
-#: the language classifier has no SQL form; tests hold the other stages against SQL or brute force, and run() against the stages
+#: the language classifier has no SQL form; tests/llm holds each other stage against SQL or brute force on its own input, and run() against the stages
 ORACLE_SQL = None
 
 
