@@ -10,7 +10,9 @@ SIGNAL_KINDS = ("deploy", "log", "incident_signal", "remediation", "trace")
 SIGNAL_METRICS = "latency|error|memory|heap|gc|timeout|failure|dropped|rejected|queue"
 SIGNAL_LEVELS = ("error", "critical", "warn", "warning", "fatal", "exception")
 BACKGROUND_METRICS = ("qps", "requests_per_second", "rps")
-CAUSAL_EDGES = ("calls", "dependency", "error_propagation")
+#: fixed values: edge kinds, those that carry causes, and the one that carries them backward
+CALLS, DEPENDENCY, ERROR_PROPAGATION = "calls", "dependency", "error_propagation"
+CAUSAL_EDGES = (CALLS, DEPENDENCY, ERROR_PROPAGATION)
 
 
 def minutes(later: Column, earlier: Column) -> Column:
@@ -20,8 +22,24 @@ def minutes(later: Column, earlier: Column) -> Column:
 
 
 def parse_timestamp(c: Column) -> Column:
-    """ISO 8601 with Z, an offset or none (UTC); null if unreadable."""
-    return F.try_to_timestamp(c)
+    """ISO 8601 with Z, an offset or none (UTC) as UTC without zone, whatever the session's zone; null if unreadable."""
+    text = F.trim(c)
+    zoned = text.rlike("(?i)(z|[+-][0-9]{2}:?[0-9]{2})$") & F.contains(text, F.lit(":"))
+    instant = F.try_to_timestamp(F.when(zoned, text))
+    since = F.unix_micros(instant)
+    utc = F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00")) + F.make_dt_interval(F.floor(since / 86400000000), F.lit(0), F.lit(0), F.pmod(since, F.lit(86400000000)).cast("decimal(20,6)") / 1000000)
+    return F.when(zoned, utc).otherwise(text.try_cast("timestamp_ntz"))
+
+
+def iso(ts: Column) -> Column:
+    """A UTC time without zone as ISO 8601 with its offset; fractions only where there are some."""
+    micros = F.date_format(ts, "SSSSSS")
+    return F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), F.when(micros == "000000", "").otherwise(F.concat(F.lit("."), micros)), F.lit("+00:00"))
+
+
+def first_text(*columns: Column) -> Column:
+    """The first of the columns that is neither null nor empty."""
+    return F.coalesce(*[F.nullif(c, F.lit("")) for c in columns])
 
 
 def trigger_service(trigger: Column) -> Column:
@@ -105,6 +123,7 @@ def abstains(elements: Column, top: Column, second: Column) -> Column:
     return (elements <= 1) | top.isNull() | F.when(top >= 0.55, False).when(top < 0.38, True).otherwise(gap < 0.06)
 
 
+# fixed values: the wording of a rationale
 def rationale(similarity: Column, same_service: Column, family: Column) -> Column:
     how = F.when(similarity >= 0.9, "near-identical behavioral pattern").when(similarity >= 0.6, "similar behavioral pattern").otherwise("partial behavioral overlap")
     return F.concat_ws("; ", how, F.when(same_service, "same trigger service"), F.when(family.isNotNull(), F.concat(F.lit("family "), F.substring(family, 1, 8))))

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import scalars as X
 from ..sources.tables import written
 
-_EVENT = ["event_id", "ts", "kind", "node", "name", "value", "level", "rank"]
+_EVENT = ["event_id", "ts", "kind", "node", "service", "name", "value", "level", "trace_id", "rank"]
+#: minutes within which a rule on time can hold
+_RULE_MIN = 10
 
 
 def ranked(related: DataFrame, limit: int) -> DataFrame:
@@ -18,6 +20,8 @@ def ranked(related: DataFrame, limit: int) -> DataFrame:
 
 
 def _side(df: DataFrame, p: str, keys: list[str]) -> DataFrame:
+    for c, kind in (("trace_id", "string"), ("service", "string")):
+        df = df if c in df.columns else df.withColumn(c, F.lit(None).cast(kind))
     sev = X.severity(F.col("kind"), F.col("name"), F.col("value"), F.col("level"))
     return df.select(*keys, *[F.col(c).alias(f"{p}_{c}") for c in _EVENT], sev.alias(f"{p}_sev"))
 
@@ -35,32 +39,57 @@ def graph_pairs(events: DataFrame, edges: DataFrame, at: str = "sig_ts") -> Data
     a = _side(events, "a", ["incident_id", at, "trigger_node"])
     b = _side(events, "b", ["incident_id"])
     valid = (F.col("valid_from") <= F.col(at)) & (F.col("valid_to").isNull() | (F.col("valid_to") > F.col(at)))
+    edges = edges.withColumnRenamed("kind", "edge_kind") if "kind" in edges.columns else edges
+    edges = edges.drop("last_seen", "confidence", "n_evidence")
     on = a.join(edges, (a["a_node"] == edges["src"]) & valid).join(b, ["incident_id"]).filter((F.col("dst") == F.col("b_node")) & (F.col("a_event_id") != F.col("b_event_id")))
     gap = X.minutes(F.col("b_ts"), F.col("a_ts"))
     on = on.withColumn("gap", gap).filter((F.col("gap") >= -1) & (F.col("gap") <= 15))
     touches = (F.col("src") == F.col("trigger_node")) | (F.col("dst") == F.col("trigger_node"))
     on = on.withColumn("confidence", X.graph_confidence(F.col("gap"), F.col("a_sev"), F.col("b_sev"), touches))
     w = Window.partitionBy("incident_id", "src", "dst").orderBy(F.desc("confidence"), "a_rank", "b_rank")
+    # of several kinds of edge between two nodes one pair is kept
     best = on.withColumn("_r", F.row_number().over(w)).filter("_r = 1")
-    evidence = F.concat(F.col("src"), F.lit(" -> "), F.col("dst"), F.lit(": "), F.col("a_kind"), F.lit(" before "), F.col("b_kind"))
+    kind = F.col("edge_kind") if "edge_kind" in on.columns else F.lit(X.DEPENDENCY)
+    # fixed values: the wording of evidence
+    said = F.concat(F.lit("graph "), kind, F.lit(": "), F.col("a_kind"), F.lit(" on "), F.coalesce("a_service", F.lit("?")), F.lit(" \u2192 "), F.col("b_kind"), F.lit(" on "), F.coalesce("b_service", F.lit("?")))
+    evidence = F.concat(said, F.lit(" ("), F.bround("gap", 0).cast("int").cast("string"), F.lit("min apart)"))
     return best.select("incident_id", F.col("a_event_id").alias("cause"), F.col("b_event_id").alias("effect"), "confidence", evidence.alias("evidence"))
 
 
 def rule_pairs(events: DataFrame, edges: DataFrame) -> DataFrame:
     """Pairs in time order that a rule explains; the first rule that holds decides.
 
-    Events are capped per incident before this self-join, which runs within
-    ``incident_id``.  The graph is the current one (edges without an end).
+    Rules on time only hold within ten minutes, so events of an incident meet
+    by time bucket and not each with each; those on a shared trace meet by its
+    id.  The graph is the current one (edges without an end).
     """
-    now = edges.filter("valid_to is null").select(F.col("src").alias("_s"), F.col("dst").alias("_d")).distinct()
+    now = edges.filter("valid_to is null")
+    now = now.withColumn("kind", F.lit(X.DEPENDENCY)) if "kind" not in now.columns else now
+    now = now.groupBy(F.col("src").alias("_s"), F.col("dst").alias("_d")).agg(F.min_by("kind", F.struct("valid_from", "kind")).alias("_kind"))
+    back = now.filter(F.col("_kind") == X.ERROR_PROPAGATION).select(F.col("_d").alias("_bs"), F.col("_s").alias("_bd"), F.lit(True).alias("_back"))
     a, b = _side(events, "a", ["incident_id", "trigger_node"]), _side(events, "b", ["incident_id"])
-    p = a.join(b, "incident_id").filter(F.col("a_rank") < F.col("b_rank")).withColumn("gap", X.minutes(F.col("b_ts"), F.col("a_ts")))
+    slot = lambda c: F.floor(F.unix_seconds(F.col(c).cast("timestamp")) / (_RULE_MIN * 60))
+    near = a.withColumn("_slot", F.explode(F.array(slot("a_ts"), slot("a_ts") + 1))).join(b.withColumn("_slot", slot("b_ts")), ["incident_id", "_slot"]).drop("_slot")
+    traced = a.filter(F.nullif("a_trace_id", F.lit("")).isNotNull()).withColumn("_t", F.col("a_trace_id")).join(b.withColumn("_t", F.col("b_trace_id")), ["incident_id", "_t"]).drop("_t")
+    p = near.unionByName(traced).filter(F.col("a_rank") < F.col("b_rank")).dropDuplicates(["incident_id", "a_rank", "b_rank"])
+    p = p.withColumn("gap", X.minutes(F.col("b_ts"), F.col("a_ts")))
     p = p.join(now, (p["a_node"] == now["_s"]) & (p["b_node"] == now["_d"]), "left")
-    deploy = (F.col("a_kind") == "deploy") & (F.col("b_kind") == "metric") & (F.col("gap") > 0) & (F.col("gap") <= 10) & (F.col("a_node") == F.col("trigger_node"))
-    call = (F.col("gap") <= 5) & F.col("_s").isNotNull()
-    log = (F.col("a_kind") == "log") & (F.lower("a_level").isin("error", "fatal", "critical")) & (F.col("b_kind") == "metric") & (F.col("a_node") == F.col("b_node")) & (F.col("gap") > 0) & (F.col("gap") <= 5)
-    conf = F.when(deploy, 0.8).when(call, 0.6).when(log, 0.6)
-    why = F.when(deploy, "deploy before metric change").when(call, "dependency between services").when(log, "errors before metric change")
+    p = p.join(back, (p["a_node"] == back["_bs"]) & (p["b_node"] == back["_bd"]), "left")
+    gap = F.col("gap")
+    deploy = (F.col("a_kind") == "deploy") & (F.col("b_kind") == "metric") & (gap > 0) & (gap <= 10) & (F.col("a_node") == F.col("trigger_node"))
+    trace = (F.col("a_trace_id") != "") & (F.col("a_trace_id") == F.col("b_trace_id"))
+    call = (gap <= 5) & F.col("_kind").isin(*X.CAUSAL_EDGES)
+    backward = (gap <= 5) & F.col("_back")
+    log = (F.col("a_kind") == "log") & (F.lower("a_level").isin("error", "fatal", "critical")) & (F.col("b_kind") == "metric") & (F.col("a_node") == F.col("b_node")) & (gap > 0) & (gap <= 5)
+    conf = F.when(deploy, 0.8).when(trace, 0.7).when(call, 0.6).when(backward, 0.5).when(log, 0.6)
+    # fixed values: the wording of evidence
+    why = (
+        F.when(deploy, "deploy precedes metric spike within 10min")
+        .when(trace, F.concat(F.lit("shared trace_id "), F.col("a_trace_id")))
+        .when(call, F.concat(F.col("_kind"), F.lit(" edge in graph")))
+        .when(backward, f"{X.ERROR_PROPAGATION} edge in graph")
+        .when(log, "error log precedes metric spike")
+    )
     return p.withColumn("confidence", conf).filter("confidence is not null").select("incident_id", F.col("a_event_id").alias("cause"), F.col("b_event_id").alias("effect"), "confidence", why.alias("evidence"))
 
 

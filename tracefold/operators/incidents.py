@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
@@ -40,26 +40,44 @@ def fingerprints(elements: DataFrame) -> DataFrame:
     return g.select("incident_id", "trigger_node", "sig_ts", F.size("e").alias("n_elements"), js.alias("fp_json"), F.substring(F.sha2(js, 256), 1, 32).alias("fp_hash"))
 
 
-def pair_scores(prints: DataFrame) -> DataFrame:
+def edit_distance(a: Column, b: Column) -> Column:
+    """Edits between two arrays of strings.
+
+    Elements are written as one character each, numbered within the pair, so
+    that the built-in edit distance counts elements whatever the vocabulary is;
+    it counts code points, and the numbers pass over the surrogates.
+    """
+    every = F.array_distinct(F.concat(a, b))
+
+    def coded(x: Column) -> Column:
+        at = lambda e: F.array_position(every, e) + 31
+        hexed = F.transform(x, lambda e: F.lpad(F.hex(at(e) + F.when(at(e) >= 0xD800, 0x800).otherwise(0)), 8, "0"))
+        return F.decode(F.unhex(F.array_join(hexed, "")), "UTF-32")
+
+    return F.levenshtein(coded(a), coded(b))
+
+
+def pair_scores(prints: DataFrame, past: DataFrame | None = None) -> DataFrame:
     """(a, b, jaccard, distance, similarity) for different fingerprints that share an element.
 
-    Only distinct fingerprints are compared, found by an inverted index of
-    elements; those that share none have similarity 0 and are left out.
+    Without ``past`` every pair has ``a < b``; with it, ``a`` is of ``prints``
+    and ``b`` of ``past``.  Only distinct fingerprints are compared, found by an
+    inverted index of elements; those that share none have similarity 0 and are
+    left out.
     """
-    distinct = prints.groupBy("fp_hash").agg(F.first("fp_json").alias("fp_json"))
-    seq = distinct.select("fp_hash", F.posexplode(F.from_json("fp_json", "array<array<string>>")).alias("pos", "x")).select("fp_hash", "pos", F.array_join("x", "|").alias("el"))
-    counts = seq.groupBy("fp_hash", "el").agg(F.count(F.lit(1)).alias("c"))
-    sizes = counts.groupBy("fp_hash").agg(F.sum("c").alias("n"))
-    a, b = counts.alias("a"), counts.alias("b")
-    shared = a.join(b, (F.col("a.el") == F.col("b.el")) & (F.col("a.fp_hash") < F.col("b.fp_hash"))).groupBy(F.col("a.fp_hash").alias("a"), F.col("b.fp_hash").alias("b")).agg(F.sum(F.least("a.c", "b.c")).alias("inter"))
-    codes = seq.select("el").distinct()
-    # one character for each element, so that the built-in edit distance counts elements
-    codes = codes.withColumn("code", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("el")) + 255)
-    one = F.expr("decode(unhex(lpad(hex(code), 4, '0')), 'UTF-16BE')")
-    text = seq.join(codes.withColumn("ch", one), "el").groupBy("fp_hash").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "ch"))), lambda x: x.ch), "").alias("s"))
-    info = written(sizes.join(text, "fp_hash"), "coded")
-    ia, ib = info.select(F.col("fp_hash").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa")), info.select(F.col("fp_hash").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb"))
-    full = shared.join(ia, "a").join(ib, "b").withColumn("distance", F.levenshtein("sa", "sb"))
+    sides = [prints.select("fp_hash", "fp_json", F.lit(True).alias("q"), F.lit(past is None).alias("h"))]
+    if past is not None:
+        sides.append(past.select("fp_hash", "fp_json", F.lit(False).alias("q"), F.lit(True).alias("h")))
+    distinct = (sides[0] if past is None else sides[0].unionByName(sides[1])).groupBy("fp_hash").agg(F.first("fp_json").alias("fp_json"), F.bool_or("q").alias("q"), F.bool_or("h").alias("h"))
+    els = F.transform(F.from_json("fp_json", "array<array<string>>"), lambda x: F.array_join(x, "|"))
+    info = written(distinct.select("fp_hash", els.alias("els"), "q", "h"), "coded")
+    counts = info.select("fp_hash", "q", "h", F.size("els").alias("n"), F.explode("els").alias("el")).groupBy("fp_hash", "el", "q", "h").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"))
+    a, b = counts.filter("q").alias("a"), counts.filter("h").alias("b")
+    order = F.col("a.fp_hash") < F.col("b.fp_hash") if past is None else F.col("a.fp_hash") != F.col("b.fp_hash")
+    shared = a.join(b, (F.col("a.el") == F.col("b.el")) & order)
+    shared = shared.groupBy(F.col("a.fp_hash").alias("a"), F.col("b.fp_hash").alias("b")).agg(F.sum(F.least("a.c", "b.c")).alias("inter"))
+    side = lambda k: info.select(F.col("fp_hash").alias(k), F.size("els").alias(f"n{k}"), F.col("els").alias(f"e{k}"))
+    full = shared.join(side("a"), "a").join(side("b"), "b").withColumn("distance", edit_distance(F.col("ea"), F.col("eb")))
     jac = F.col("inter") / (F.col("na") + F.col("nb") - F.col("inter"))
     near = F.greatest(F.lit(0.0), F.lit(1.0) - F.col("distance") / F.greatest("na", "nb"))
     sim = F.least(F.lit(1.0), F.lit(0.75) * jac + F.lit(0.25) * near)
@@ -67,14 +85,15 @@ def pair_scores(prints: DataFrame) -> DataFrame:
 
 
 def similar_incidents(prints: DataFrame, past: DataFrame, scores: DataFrame, k: int = 5) -> DataFrame:
-    """(incident_id, rank, match_id, similarity, same_service): the k most similar earlier incidents.
+    """(incident_id, rank, match_id, similarity, same_service, family): the k most similar earlier incidents.
 
     ``past`` has the fingerprints that incidents were stored with; ``scores``
-    covers both.  Same trigger service adds 0.15.  One match for each (trigger,
-    family) comes first, then the list is filled up by rank.
+    covers both, each pair in one order or both.  Same trigger service adds 0.15.  One
+    match for each (trigger, family) comes first, then the list is filled up by
+    rank.
     """
-    both = scores.select("a", "b", "similarity").unionByName(scores.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
     own = prints.select(F.col("fp_hash").alias("a")).distinct().select("a", F.col("a").alias("b"), F.lit(1.0).alias("similarity"))
+    both = scores.select("a", "b", "similarity").unionByName(scores.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity")).dropDuplicates(["a", "b"])
     q = prints.select("incident_id", F.col("fp_hash").alias("a"), "trigger_node", "sig_ts").join(both.unionByName(own), "a")
     p = past.select(F.col("incident_id").alias("match_id"), F.col("fp_hash").alias("b"), F.col("trigger_node").alias("_tn"), F.col("sig_ts").alias("_ts"))
     p = p.join(families(past).groupBy(F.col("incident_id").alias("match_id")).agg(F.min("family").alias("family")), "match_id")
@@ -85,7 +104,7 @@ def similar_incidents(prints: DataFrame, past: DataFrame, scores: DataFrame, k:
     m = m.withColumn("_r", F.row_number().over(Window.partitionBy("incident_id").orderBy(*order)))
     m = m.withColumn("_f", F.row_number().over(Window.partitionBy("incident_id", "match_node", "family").orderBy("_r")))
     m = m.withColumn("rank", F.row_number().over(Window.partitionBy("incident_id").orderBy((F.col("_f") > 1).cast("int"), "_r"))).filter(F.col("rank") <= k)
-    return m.select("incident_id", "rank", "match_id", "similarity", "same_service", "match_ts")
+    return m.select("incident_id", "rank", "match_id", "similarity", "same_service", "match_ts", "family")
 
 
 def abstentions(prints: DataFrame, matches: DataFrame) -> DataFrame:
@@ -98,46 +117,97 @@ def abstentions(prints: DataFrame, matches: DataFrame) -> DataFrame:
 def families(prints: DataFrame) -> DataFrame:
     """(incident_id, family, similarity, incident_count): online leader clustering within each trigger service, in arrival order.
 
-    Same hash joins its family; else the nearest leader within one edit whose
-    share of equal elements is 0.8 or more; else a new family.  Runs per
-    trigger; its state is one leader for each family.
+    Same hash joins its family; else the first leader within one edit whose
+    share of equal elements is 0.8 or more; else a new family.  What a hash
+    joins is settled when it first arrives, so only distinct hashes of a trigger
+    come together; leaders are found by the sequences that one deletion makes.
     """
+    seen = prints.groupBy("trigger_node", "fp_hash").agg(F.min(F.struct(F.col("sig_ts").cast("string").alias("sig_ts"), "incident_id")).alias("first"), F.first("fp_json").alias("fp_json"))
+    rows = seen.select("trigger_node", "fp_hash", "fp_json", F.col("first.sig_ts").alias("sig_ts"), F.col("first.incident_id").alias("incident_id"))
+    got = rows.groupBy("trigger_node").applyInPandas(_fold_families, "trigger_node string, fp_hash string, family string, similarity double")
+    sizes = prints.join(got, ["trigger_node", "fp_hash"])
+    counts = prints.groupBy("trigger_node", "fp_hash").agg(F.count(F.lit(1)).alias("n")).join(got, ["trigger_node", "fp_hash"]).groupBy("family").agg(F.sum("n").alias("incident_count"))
+    return sizes.select("family", "incident_id", "similarity").join(counts, "family")
+
+
+def family_id(trigger: str, fp_hash: str) -> str:
+    """A family's id, from its trigger and its leader's hash."""
+    import hashlib
+
+    return hashlib.md5(f"{trigger}:{fp_hash}".encode()).hexdigest()
+
+
+class Leaders:
+    """The families of one trigger: leaders in order, found by the sequences that one deletion makes of theirs."""
+
+    def __init__(self, state: list | None = None):
+        self.rows: list = []
+        self._hash: dict[str, int] = {}
+        self._near: dict[tuple, list[int]] = {}
+        for family, fp_hash, elements in state or []:
+            self._add(family, fp_hash, elements)
+
+    @staticmethod
+    def _keys(e: tuple) -> set[tuple]:
+        return {e, *(e[:i] + e[i + 1 :] for i in range(len(e)))}
+
+    def _add(self, family: str, fp_hash: str, elements: list) -> None:
+        at = len(self.rows)
+        self.rows.append([family, fp_hash, elements])
+        self._hash[fp_hash] = at
+        for k in self._keys(tuple(map(tuple, elements))):
+            self._near.setdefault(k, []).append(at)
+
+    def assign(self, trigger: str, fp_hash: str, elements: list) -> tuple[str, float]:
+        if fp_hash in self._hash:
+            return self.rows[self._hash[fp_hash]][0], 1.0
+        mine = tuple(map(tuple, elements))
+        for at in sorted({i for k in self._keys(mine) for i in self._near.get(k, ())}):
+            other = tuple(map(tuple, self.rows[at][2]))
+            longest = max(len(mine), len(other))
+            if _one_edit(mine, other) and 1 - 1 / longest >= 0.8:
+                return self.rows[at][0], 1 - 1 / longest
+        family = family_id(trigger, fp_hash)
+        self._add(family, fp_hash, elements)
+        return family, 1.0
+
+
+def _one_edit(a: tuple, b: tuple) -> bool:
+    """Whether one insertion, deletion or substitution turns a into b."""
+    if len(a) > len(b):
+        a, b = b, a
+    i = 0
+    while i < len(a) and a[i] == b[i]:
+        i += 1
+    return (len(a) == len(b) and a[i + 1 :] == b[i + 1 :]) or (len(a) + 1 == len(b) and a[i:] == b[i + 1 :])
+
+
+def _fold_families(pdf):
     import json
 
-    def distance(a: list, b: list) -> int:
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            last, row[0] = row[0], i
-            for j, y in enumerate(b, 1):
-                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-        return row[-1]
-
-    def fold(pdf):
-        pdf = pdf.sort_values(["sig_ts", "incident_id"])
-        by_hash: dict[str, str] = {}
-        leaders: list[tuple[str, list]] = []
-        out = []
-        for inc, h, js in zip(pdf["incident_id"], pdf["fp_hash"], pdf["fp_json"], strict=True):
-            fam, sim = by_hash.get(h), 1.0
-            if fam is None:
-                e, best = json.loads(js), None
-                for f, leader in leaders:
-                    n = max(len(e), len(leader))
-                    if abs(len(e) - len(leader)) <= 1 and n:
-                        d = distance(e, leader)
-                        if d <= 1 and 1 - d / n >= 0.8 and (best is None or d < best[0]):
-                            best = (d, f, 1 - d / n)
-                if best:
-                    fam, sim = best[1], best[2]
-                else:
-                    fam = f"{pdf['trigger_node'].iloc[0]}:{h[:12]}"
-                    by_hash[h] = fam
-                    leaders.append((fam, e))
-            out.append((inc, fam, sim))
-        import pandas as pd
-
-        return pd.DataFrame(out, columns=["incident_id", "family", "similarity"])
-
-    rows = prints.select("incident_id", "trigger_node", "fp_hash", "fp_json", F.col("sig_ts").cast("string").alias("sig_ts"))
-    got = rows.groupBy("trigger_node").applyInPandas(fold, "incident_id string, family string, similarity double")
-    return got.join(got.groupBy("family").agg(F.count(F.lit(1)).alias("incident_count")), "family")
+    pdf = pdf.sort_values(["sig_ts", "incident_id"])
+    leaders = Leaders()
+    found = [leaders.assign(t, h, json.loads(js)) for t, h, js in zip(pdf["trigger_node"], pdf["fp_hash"], pdf["fp_json"], strict=True)]
+    return pdf[["trigger_node", "fp_hash"]].assign(family=[f for f, _ in found], similarity=[s for _, s in found])
+
+
+def family_members(families: DataFrame, family: str, without: str | None = None) -> DataFrame:
+    """The incidents of a family, but for one."""
+    out = families.filter(F.col("family") == family)
+    return out.filter(F.col("incident_id") != without) if without else out
+
+
+def representatives(prints: DataFrame, families: DataFrame) -> DataFrame:
+    """(family, trigger_node, incident_id, fp_hash): the incident each family began with."""
+    j = prints.join(families.select("incident_id", "family"), "incident_id")
+    return j.groupBy("family", "trigger_node").agg(F.min(F.struct("sig_ts", "incident_id", "fp_hash")).alias("f")).select("family", "trigger_node", "f.incident_id", "f.fp_hash")
+
+
+def candidate_patterns(prints: DataFrame, families: DataFrame, confidence: DataFrame, trigger: str, limit: int = 10) -> DataFrame:
+    """(incident_id, trigger_node, sig_ts, confidence): patterns of one trigger, newest first, or of all services where it has none."""
+    j = prints.join(families.select("incident_id", "family"), "incident_id", "left").join(confidence.select("family", F.col("reinforced").alias("_c")), "family", "left")
+    j = j.select("incident_id", "trigger_node", "sig_ts", F.coalesce("_c", F.lit(0.5)).alias("confidence"))
+    own = j.filter(F.col("trigger_node") == trigger)
+    rest = j.withColumn("_own", (F.col("trigger_node") == trigger).cast("int"))
+    top = rest.agg(F.max("_own").alias("_any"))
+    return (own if top.first()["_any"] else j).orderBy(F.desc("sig_ts"), "incident_id").limit(limit)

@@ -9,15 +9,22 @@ from ..functions import scalars as X
 
 
 def attach(remediations: DataFrame, signals: DataFrame) -> DataFrame:
-    """Latest earlier signal of a remediation's service: an as-of join as one union and one running value.
+    """The history: each remediation with the incident it names, else the latest earlier signal of its service.
 
-    Both sides are shuffled once by node; no pair of rows is formed.
+    The latter is an as-of join as one union and one running value: both sides
+    are shuffled once by node, and no pair of rows is formed.  ``linked`` tells
+    whether the incident's pattern was stored when the remediation came.
     """
-    s = signals.select("node", F.col("sig_ts").alias("ts"), F.lit(0).alias("_k"), F.col("incident_id").alias("_inc"), F.lit(None).cast("bigint").alias("event_id"), *[F.lit(None).cast("string").alias(c) for c in ("action", "target", "outcome")])
-    r = remediations.select("node", "ts", F.lit(1).alias("_k"), F.lit(None).cast("string").alias("_inc"), "event_id", "action", "target", "outcome")
+    named = F.nullif("incident_id", F.lit("")) if "incident_id" in remediations.columns else F.lit(None).cast("string")
+    rem = remediations.select("node", "ts", "event_id", "action", "target", "outcome", named.alias("_named"))
+    s = signals.select("node", F.col("sig_ts").alias("ts"), F.lit(0).alias("_k"), F.col("incident_id").alias("_inc"), F.lit(None).cast("bigint").alias("event_id"), *[F.lit(None).cast("string").alias(c) for c in ("action", "target", "outcome", "_named")])
+    r = rem.select("node", "ts", F.lit(1).alias("_k"), F.lit(None).cast("string").alias("_inc"), "event_id", "action", "target", "outcome", "_named")
     w = Window.partitionBy("node").orderBy("ts", "_k", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    both = s.unionByName(r).withColumn("incident_id", F.last("_inc", ignorenulls=True).over(w)).filter("_k = 1")
-    return both.select("event_id", F.col("ts").alias("applied_at"), "node", "action", "target", "outcome", "incident_id", X.base_confidence(F.col("outcome")).alias("base"))
+    both = s.unionByName(r).withColumn("_asof", F.last("_inc", ignorenulls=True).over(w)).filter("_k = 1").withColumn("incident_id", F.coalesce("_named", "_asof"))
+    first = signals.groupBy(F.col("incident_id").alias("_named")).agg(F.min("event_id").alias("_stored"))
+    linked = F.when(F.col("_named").isNull(), F.col("_asof").isNotNull()).otherwise(F.coalesce(F.col("_stored") < F.col("event_id"), F.lit(False)))
+    out = both.join(first, "_named", "left")
+    return out.select("event_id", F.col("ts").alias("applied_at"), "node", "action", "target", "outcome", "incident_id", X.base_confidence(F.col("outcome")).alias("base"), linked.alias("linked"))
 
 
 def by_incident(matches: DataFrame, history: DataFrame, per_match: int = 2) -> DataFrame:
@@ -31,6 +38,26 @@ def by_incident(matches: DataFrame, history: DataFrame, per_match: int = 2) -> D
     return j.select("incident_id", F.lit(1).alias("strategy"), F.col("rank").alias("source_rank"), "action", "target", "outcome", "applied_at", c.alias("confidence"))
 
 
+def by_pattern(matches: DataFrame, history: DataFrame, per_match: int = 2) -> DataFrame:
+    """Strategy 2: the newest remediations stored with a matched incident's pattern, cut before the time filter.
+
+    ``linked`` says which remediations came after their incident's pattern.
+    """
+    h = history.filter("linked").withColumn("_r", F.row_number().over(Window.partitionBy("incident_id").orderBy(F.desc("applied_at"), F.desc("event_id")))).filter(F.col("_r") <= per_match)
+    h = h.select(F.col("incident_id").alias("match_id"), "action", "target", "outcome", "base", "applied_at")
+    j = matches.join(h, "match_id").filter(F.col("applied_at") < F.col("sig_ts"))
+    c = X.decay(F.col("base"), F.col("applied_at"), F.col("sig_ts"))
+    c = F.when(F.col("outcome") == "resolved", F.least(F.lit(0.95), c * 1.2)).otherwise(c)
+    return j.select("incident_id", F.lit(2).alias("strategy"), F.col("rank").alias("source_rank"), "action", "target", "outcome", "applied_at", c.alias("confidence"))
+
+
+def of_family(history: DataFrame, families: DataFrame, per_family: int = 5) -> DataFrame:
+    """(family, rank, incident_id, action, target, outcome, base, applied_at): a family's newest remediations."""
+    j = history.filter("linked").join(families.select("incident_id", "family"), "incident_id")
+    w = Window.partitionBy("family").orderBy(F.desc("applied_at"), F.desc("event_id"))
+    return j.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= per_family).select("family", "rank", "incident_id", "action", "target", "outcome", "base", "applied_at")
+
+
 def by_target(signals: DataFrame, history: DataFrame, keep: int = 3, factor: float = 1.0, strategy: int = 3) -> DataFrame:
     """Strategies 3 and 4: resolved remediations of a service; the cut comes before the time filter."""
     h = history.filter((F.col("outcome") == "resolved") & (F.col("base") >= 0.3))

@@ -33,7 +33,7 @@ def _prints(t: Telemetry) -> DataFrame:
 
 def _similar(t: Telemetry, p: DataFrame) -> DataFrame:
     past = context.history(t, WIDE_INGEST)
-    return incidents.similar_incidents(p, past, incidents.pair_scores(p.unionByName(past)))
+    return incidents.similar_incidents(p, past, incidents.pair_scores(p, past))
 
 
 def normalise_events(spark, d):
@@ -85,13 +85,12 @@ def node_first_last(spark, d):
 
 def engine_stats(spark, d):
     t = _t(spark, d)
-    one = lambda df, what: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(what).alias("what"), "n")
-    active = t.edges.filter("valid_to is null")
-    parts = [one(t.events, "events"), one(t.signals, "signals"), one(t.names.select("node").distinct(), "nodes"), one(active, "active_edges"), one(t.events.filter("kind = 'remediation'"), "remediations")]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    is_ = lambda kind: F.count_if(F.col("kind") == kind).alias(kind)
+    counted = t.events.agg(F.count(F.lit(1)).alias("events"), is_("incident_signal"), is_("remediation"))
+    named = lambda df, *pairs: df.select(F.explode(F.array(*[F.struct(F.lit(k).alias("what"), F.col(c).alias("n")) for k, c in pairs])).alias("s")).select("s.*")
+    out = named(counted, ("events", "events"), ("signals", "incident_signal"), ("remediations", "remediation"))
+    out = out.unionByName(named(t.names.agg(F.count_distinct("node").alias("n")), ("nodes", "n")))
+    return out.unionByName(named(t.edges.agg(F.count_if(F.col("valid_to").isNull()).alias("n")), ("active_edges", "n")))
 
 
 def name_map(spark, d):

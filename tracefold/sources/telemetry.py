@@ -1,14 +1,17 @@
-"""Telemetry sources: JSON lines, any DataFrame, and the driver's event table."""
+"""Telemetry sources: JSON lines, rows, any DataFrame, and the driver's event table."""
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SPAN = T.StructType([T.StructField("svc", T.StringType()), T.StructField("service", T.StringType()), T.StructField("dur_ms", T.DoubleType())])
 _TEXT = ["ts", "kind", "service", "version", "actor", "level", "msg", "trace_id", "name"]
-_MORE = ["change", "from_", "from", "to", "incident_id", "trigger", "action", "target", "outcome", "_corrupt"]
+_MORE = ["change", "from_", "from", "source", "src", "to", "target", "dst", "op", "type", "incident_id", "trigger", "action", "outcome", "_corrupt"]
 EVENT_SCHEMA = T.StructType(
     [T.StructField(c, T.StringType()) for c in _TEXT] + [T.StructField("value", T.DoubleType()), T.StructField("spans", T.ArrayType(SPAN))] + [T.StructField(c, T.StringType()) for c in _MORE]
 )
@@ -26,6 +29,13 @@ def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
     return parse_json_lines(spark.read.text(path))
 
 
+def from_rows(spark: SparkSession, rows: Iterable[dict]) -> DataFrame:
+    """Events given as dicts, in their order, which ``ingest_seq`` keeps."""
+    lines = [(i, json.dumps(r, default=str)) for i, r in enumerate(rows)]
+    df = spark.createDataFrame(lines, "ingest_seq bigint, value string")
+    return df.select("ingest_seq", F.col("value").alias("raw_json"), F.from_json("value", EVENT_SCHEMA, {"columnNameOfCorruptRecord": "_corrupt"}).alias("e")).select("ingest_seq", "raw_json", "e.*")
+
+
 def driver_telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The driver's ``events`` table as telemetry.
 
