@@ -5,12 +5,17 @@ token count and its first ``DEPTH`` tokens to a leaf.  In a leaf, a token is
 fixed at its position if at least ``MIN_DOCS`` texts have it there; the other
 positions are variable fields.  A line whose fixed share is at least
 ``MIN_FIXED`` takes the generalised template, any other line is its own.  A
-template that recurs in ``MIN_DOCS`` different texts is dropped from all.
+template that recurs in ``MIN_DOCS`` different texts is dropped from all, and so
+is a line of ``LONG`` tokens or more that recurs in ``MIN_LONG``.  A line that
+recurs as it stands has no variable field, so its rarer variants stay unless
+they recur themselves.
 
 Copies and near copies of whole documents repeat every line, which makes no
 line boilerplate.  So equal texts count once, and a text of which recurring
 lines make up ``COPY_SHARE`` of the tokens or more does not vote on what
-recurs; lines that recur in other texts are still dropped from it.
+recurs, unless a single template is all that recurs in it, and a short one or
+one of ``MIN_DOCS`` texts; lines that recur in other texts are still dropped
+from it.
 
 Only DataFrame functions are used.  What is shuffled is hashes of lines; of
 texts only those with something to drop move, for the final join, whose both
@@ -38,6 +43,8 @@ DEPTH = 4
 MIN_TOKENS = 4
 MIN_DOCS = 4
 MIN_FIXED = 0.7
+#: a line of so many tokens recurs in fewer texts
+LONG, MIN_LONG = 50, 2
 COPY_SHARE = 0.5
 SLOTS = 1 << 20
 #: tokens with a digit, from their start on, and runs of blanks inside a line
@@ -111,22 +118,25 @@ def _generalised(docs: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def dropped_templates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((k, t) occurrences, t of the lines that go)."""
+    """((k, t, g) occurrences of templates that may recur, g of the templates that go)."""
     occ = materialize(_occurrences(docs), "line-occurrences")
-    counts = materialize(occ.groupBy("t").agg(F.first("leaf").alias("leaf"), F.count(F.lit(1)).alias("df")), "line-counts")
+    counts = materialize(occ.groupBy("t").agg(F.first("leaf").alias("leaf"), F.first("n").alias("n"), F.count(F.lit(1)).alias("df")), "line-counts")
     wide = _generalised(docs, counts)
     # lines that recur as they stand are their own templates
-    names = counts.join(wide, "t", "left").select("t", "df", F.when((F.col("df") < MIN_DOCS), F.col("g")).alias("g"))
-    groups = names.filter("g is not null").groupBy("g").agg(F.sum("df").alias("_df"), F.count(F.lit(1)).alias("_n")).filter(f"_df >= {MIN_DOCS}").select("g")
-    recurring = names.filter(f"df >= {MIN_DOCS}").select("t", F.col("t").alias("g"))
-    recurring = materialize(recurring.unionByName(names.join(groups, "g").select("t", "g")), "line-recurring")
-    hits = materialize(occ.join(recurring, "t").select("k", "t", "g", "n"), "line-hits")
-    mine = hits.groupBy("k").agg(F.sum("n").alias("_hit"))
+    names = counts.join(wide, "t", "left").select("t", "n", "df", F.when((F.col("df") < MIN_DOCS), F.col("g")).alias("g"))
+    groups = names.filter("g is not null").groupBy("g").agg(F.sum("df").alias("_df")).filter(f"_df >= {MIN_DOCS}").select("g", F.lit(True).alias("_in"))
+    named = names.join(groups, "g", "left").filter(f"df >= {MIN_DOCS} OR _in OR (n >= {LONG} AND df >= {MIN_LONG})")
+    own = (F.col("df") >= MIN_DOCS) | F.col("_in").isNull()
+    recurring = named.select("t", F.when(own, F.col("t")).otherwise(F.col("g")).alias("g"), (F.col("_in").isNull() & (F.col("df") < MIN_DOCS)).alias("few"))
+    recurring = materialize(recurring, "line-recurring")
+    hits = materialize(occ.join(recurring, "t").select("k", "t", "g", "n", "few"), "line-hits")
+    often = lambda c: F.when(~F.col("few"), F.col(c))
+    mine = hits.groupBy("k").agg(F.sum("n").alias("_hit"), F.sum(often("n")).alias("_often"), F.min(often("g")).alias("_g0"), F.max(often("g")).alias("_g1"))
     whole = occ.groupBy("k").agg(F.sum("n").alias("_all"))
-    voters = mine.join(whole, "k").filter(F.col("_hit") < F.lit(COPY_SHARE) * F.col("_all")).select("k")
-    votes = hits.join(voters, "k", "left_semi").select("k", "g").distinct().groupBy("g").agg(F.count(F.lit(1)).alias("_df"))
-    gone = votes.filter(f"_df >= {MIN_DOCS}").select("g")
-    return hits, gone
+    share = lambda c: F.col(c) < F.lit(COPY_SHARE) * F.col("_all")
+    voters = mine.join(whole, "k").select("k", share("_hit").alias("_few"), F.coalesce(share("_often") | (F.col("_g0") == F.col("_g1")), F.lit(False)).alias("_short")).filter("_few OR _short")
+    votes = hits.join(voters, "k").filter("if(few, _few, _short)").select("k", "g", "few").distinct().groupBy("g", "few").agg(F.count(F.lit(1)).alias("_df"))
+    return hits, votes.filter(f"_df >= if(few, {MIN_LONG}, {MIN_DOCS})").select("g")
 
 
 def drop_templates(docs: DataFrame, text: str = "text", counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
@@ -176,12 +186,15 @@ fields AS (SELECT leaf, t, df, n, unnest(string_split(t, ' ')) AS token, generat
 fixed AS (SELECT leaf, pos, token FROM fields GROUP BY ALL HAVING sum(df) >= 4),
 wide AS (SELECT t, any_value(leaf) || ':' || string_agg(pos || '=' || token, ' ' ORDER BY pos) AS g
          FROM fields JOIN fixed USING (leaf, pos, token) GROUP BY t HAVING count(*) < any_value(n) AND count(*) >= 0.7 * any_value(n) AND count(*) >= 4),
-names AS (SELECT c.t, c.df, CASE WHEN c.df < 4 THEN w.g END AS g FROM counts c LEFT JOIN wide w ON c.t = w.t),
-recurring AS (SELECT t, 'own ' || t AS g FROM names WHERE df >= 4
-              UNION ALL SELECT t, g FROM names WHERE g IN (SELECT g FROM names WHERE g IS NOT NULL GROUP BY g HAVING sum(df) >= 4)),
-hits AS (SELECT k, t, g, n FROM occ JOIN recurring USING (t)),
-voters AS (SELECT k FROM (SELECT k, sum(n) AS hit FROM hits GROUP BY k) JOIN (SELECT k, sum(n) AS al FROM occ GROUP BY k) USING (k) WHERE hit < 0.5 * al),
-gone AS (SELECT g FROM (SELECT DISTINCT k, g FROM hits WHERE k IN (SELECT k FROM voters)) GROUP BY g HAVING count(*) >= 4),
+names AS (SELECT c.t, c.n, c.df, CASE WHEN c.df < 4 THEN w.g END AS g FROM counts c LEFT JOIN wide w ON c.t = w.t),
+grouped AS (SELECT g FROM names WHERE g IS NOT NULL GROUP BY g HAVING sum(df) >= 4),
+recurring AS (SELECT t, 'own ' || t AS g, false AS few FROM names WHERE df >= 4
+              UNION ALL SELECT t, g, false FROM names WHERE g IN (SELECT g FROM grouped)
+              UNION ALL SELECT t, 'own ' || t, true FROM names WHERE df BETWEEN 2 AND 3 AND n >= 50 AND (g IS NULL OR g NOT IN (SELECT g FROM grouped))),
+hits AS (SELECT k, t, g, n, few FROM occ JOIN recurring USING (t)),
+voters AS (SELECT k, hit < 0.5 * al AS v_few, coalesce(often < 0.5 * al OR kinds = 1, false) AS v_short
+           FROM (SELECT k, sum(n) AS hit, sum(n) FILTER (WHERE NOT few) AS often, count(DISTINCT g) FILTER (WHERE NOT few) AS kinds FROM hits GROUP BY k) JOIN (SELECT k, sum(n) AS al FROM occ GROUP BY k) USING (k)),
+gone AS (SELECT g FROM (SELECT DISTINCT k, g, few FROM hits JOIN voters USING (k) WHERE CASE WHEN few THEN v_few ELSE v_short END) GROUP BY g, few HAVING count(*) >= CASE WHEN few THEN 2 ELSE 4 END),
 bad AS (SELECT k, list(DISTINCT t) AS ts FROM hits WHERE g IN (SELECT g FROM gone) GROUP BY k),
 kept AS (SELECT d.doc_id, d.text, d.raw, d.masked, CASE WHEN bad.ts IS NULL THEN list_transform(d.raw, lambda x: true)
                 ELSE list_transform(d.masked, lambda x: NOT list_contains(bad.ts, x)) END AS ok
