@@ -151,7 +151,7 @@ def drop_templates(docs: DataFrame, text: str = "text", counts: tuple[str, str]
     rows = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), docs[text].alias("text"))
     # null texts have no lines and meet nothing; only texts whose bit is set are shuffled
     rows = bits.marked(rows.withColumn("k", F.when(F.col("text").isNotNull(), F.xxhash64("text"))), F.coalesce("k", F.lit(0)), bits.table_of(bad, "k"), name="maybe")
-    near = rows.filter("maybe AND text IS NOT NULL").join(bad, "k", "left").select("row", "text", "bad")
+    near = rows.filter("maybe AND text IS NOT NULL").join(bad.hint("shuffle_hash"), "k", "left").select("row", "text", "bad")
     far = rows.filter("NOT maybe OR text IS NULL").select("row", "text", F.lit(None).cast("array<bigint>").alias("bad"))
     # only lines of MIN_TOKENS tokens or more have their hash in bad
     stays = F.filter(F.split("text", "\n"), lambda x: ~F.array_contains(F.col("bad"), F.xxhash64(_masked(x))))
