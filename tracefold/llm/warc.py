@@ -106,7 +106,7 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES) -> No
     first = materialize(resolve(rows.select("rid", "page_id", "url", "digest", "n_bytes"), min_bytes), "warc-responses")
     h = F.xxhash64("digest", "n_bytes")
     rows = bits.marked(rows, h, bits.table_of(first.select(h.alias("h")), "h"))
-    joined = rows.filter("_maybe").join(first, ["digest", "n_bytes"], "left")
+    joined = rows.filter("_maybe").join(first.hint("merge"), ["digest", "n_bytes"], "left")
     revisit = F.col("first").isNotNull() & (F.col("first.rid") != F.col("rid"))
     kind = lambda c: F.when(revisit, F.col(c))
     near = joined.select("rid", "page_id", "url", "html", F.when(revisit, "revisit").otherwise("response").alias("record_type"), kind("first.page_id").alias("refers_to"), kind("first.rid").alias("refers_rid"), kind("first.url").alias("refers_url"))
