@@ -11,11 +11,14 @@ integral gives the position, and a range sort by position is the mix.
 
 Only DataFrame functions are used.  The running sums are two-level (source and
 hash bucket, then documents of one bucket), so a source that holds a third of
-all rows is spread over ``16 ** BUCKET_DIGITS`` window groups.
+all rows is spread over ``16 ** BUCKET_DIGITS`` window groups, and over more
+where there are so many rows that a group would hold more than there are groups.
 
 Defined cases: null text has size 0 and is never taken; null source is a
 source of its own, ordered last; null doc_id orders first in its bucket;
-repeated rows are separate documents; an empty table gives no rows.  Input
+repeated rows are separate documents, and rows with the same doc_id and size may
+stand for each other; very long texts are counted whole; an empty table gives no
+rows.  Input
 columns other than ``doc_id``, ``text`` and ``source`` are ignored, whatever
 their names.
 """
@@ -44,6 +47,14 @@ SCHEDULES = (
 Knots = Sequence[tuple[float, float]]
 
 
+def bucket_digits(rows: int) -> int:
+    """Hexadecimal digits that make about as many buckets as a bucket has rows, BUCKET_DIGITS at least."""
+    digits = BUCKET_DIGITS
+    while 16 ** (2 * digits) < rows:
+        digits += 1
+    return digits
+
+
 def invert_schedule(u: Column, knots: Knots) -> Column:
     """The time at which the integral of a piecewise linear multiplier reaches ``u``."""
     out, area = None, 0.0
@@ -102,10 +113,10 @@ def mix(
             key.alias("_key"),
             F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
             digest.alias("_order"),
-            F.substring(digest, 1, BUCKET_DIGITS).alias("_bucket"),
         ),
         "mix-sizes",
     )
+    sized = sized.withColumn("_bucket", F.substring("_order", 1, bucket_digits(sized.count())))
     buckets = sized.groupBy("_key", "_bucket").agg(F.first("source").alias("source"), F.sum("size").alias("_sum"))
     totals = buckets.groupBy("_key").agg(F.first("source").alias("source"), F.sum("_sum").alias("source_size"))
     targets = source_targets(totals.select("source", "source_size"), weights, budget, max_epochs)
