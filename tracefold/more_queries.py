@@ -374,15 +374,9 @@ def pattern_candidates(spark, d):
     return incidents.candidate_patterns(p, fam, sure, "svc-00").select("incident_id", "trigger_node", F.round("confidence", 9).alias("confidence"))
 
 
-def family_peers(spark, d):
-    """Every incident with the others of its family."""
-    fam = incidents.families(_prints(_t(spark, d))).select("incident_id", "family", "incident_count").filter("incident_count > 1")
-    return fam.join(fam.select(F.col("incident_id").alias("peer"), "family"), "family").filter("peer <> incident_id").select("incident_id", "peer")
-
-
 _NAMES = [
     baseline_remedies, engine_ingest, context_kinds, current_two_hop, edges_between, family_number, overall_confidence, rationales, decayed, pattern_candidates,
-    family_peers, rename_identities, logical_services, canonical_name, span_pairs, edge_table, edge_evidence, current_graph, edges_of_node, nodes_as_of, one_hop_downstream,
+    rename_identities, logical_services, canonical_name, span_pairs, edge_table, edge_evidence, current_graph, edges_of_node, nodes_as_of, one_hop_downstream,
     two_hop_upstream, induced_edges, topology_recent, point_lookup, latest_events, latest_of_service, buffer_window, search_events, iso_rendering, normalise_json,
     parser_counts, trigger_tokens, field_fallbacks, causal_rules_traced, causal_transitive, history_fingerprints, similarity_rounded, family_assignments,
     family_representatives, family_remediations, family_confidence, ranked_matches, abstained, remediation_by_target_midway, remediation_neighbours_midway,
@@ -550,11 +544,10 @@ _MORE: dict[str, str] = {
     "decayed": "SELECT event_id, round(greatest(0.1, 0.7 * pow(0.95, greatest(0, (epoch_us(TIMESTAMP '2024-01-20') - epoch_us(ts)) / 60000000.0 / 1440.0))), 9) AS confidence FROM events",
     "pattern_candidates": _TELEMETRY + _OWN_FAMILIES + """, sure AS (SELECT family, least(0.95, 0.5 + 0.05 * count(*)) AS c FROM hist h JOIN fam f ON f.incident_id = h.incident_id WHERE outcome = 'resolved' GROUP BY family)
         SELECT incident_id, trigger_node, round(CAST(coalesce(c, 0.5) AS DOUBLE), 9) AS confidence FROM fam LEFT JOIN sure USING (family) WHERE trigger_node = 'svc-00' OR NOT EXISTS (SELECT 1 FROM fam WHERE trigger_node = 'svc-00') ORDER BY sig_ts DESC, incident_id LIMIT 10""",
-    "family_peers": _TELEMETRY + _OWN_FAMILIES + "SELECT a.incident_id, b.incident_id AS peer FROM fam a JOIN fam b ON a.family = b.family AND a.incident_id <> b.incident_id",
     "baseline_matches": _TELEMETRY + """SELECT incident_id, CAST(rank AS INT) AS rank, match_id, 0.5::DOUBLE AS similarity FROM (SELECT a.incident_id, b.incident_id AS match_id, row_number() OVER (PARTITION BY a.incident_id ORDER BY b.event_id) AS rank
         FROM tel a JOIN tel b ON a.service = b.service AND a.incident_id <> b.incident_id WHERE a.kind = 'incident_signal' AND b.kind = 'incident_signal') WHERE rank <= 5""",
 }
-_ROW = "incident_id, strategy, source_rank, action, target, outcome, applied_at, confidence"
+_ROW = "incident_id, strategy, source_rank, action, target, outcome, applied_at, round(confidence, 6) AS confidence"
 _NEIGHBOURS = f"""SELECT s.incident_id, 4 AS strategy, CAST(source_rank AS INT) AS source_rank, action, target, outcome, applied_at, {_DECAYED} * 0.9 AS confidence FROM (
         SELECT *EXCLUDE (incident_id), row_number() OVER (PARTITION BY node ORDER BY applied_at DESC, event_id DESC) AS source_rank FROM hist WHERE outcome = 'resolved') h JOIN (
         SELECT DISTINCT s.incident_id, s.sig_ts, CASE WHEN e.src = s.trigger_node THEN e.dst ELSE e.src END AS near FROM sig s JOIN edge e ON e.valid_to IS NULL AND (e.src = s.trigger_node OR e.dst = s.trigger_node)) s
@@ -572,7 +565,7 @@ _EARLIER: dict[str, str] = {
         SELECT a.incident_id, CAST(a.n AS INT) AS n_elements, top, second, a.n <= 1 OR top IS NULL OR CASE WHEN top >= 0.55 THEN false WHEN top < 0.38 THEN true ELSE top - coalesce(second, 0) < 0.06 END AS abstain FROM asks a LEFT JOIN tops USING (incident_id)""",
     "families": _OWN_FAMILIES + "SELECT incident_id, family, similarity, count(*) OVER (PARTITION BY family) AS incident_count FROM fam",
     "family_reinforcement": _OWN_FAMILIES + "SELECT family, count(*) AS n_resolved, least(0.95::DOUBLE, 0.5::DOUBLE + 0.05::DOUBLE * count(*)) AS reinforced FROM hist h JOIN fam f ON f.incident_id = h.incident_id WHERE outcome = 'resolved' GROUP BY family",
-    "remediation_neighbours": _NEIGHBOURS,
+    "remediation_neighbours": ", nb AS (" + _NEIGHBOURS + f") SELECT {_ROW} FROM nb",
     "remediation_suggestions": _PAST + f""", every AS ({_OF_INCIDENT} UNION ALL {_OF_TARGET} UNION ALL {_NEIGHBOURS}),
         once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY incident_id, action, target ORDER BY strategy, source_rank, applied_at DESC) AS f FROM every) WHERE f = 1),
         gated AS (SELECT *, (SELECT count(*) FROM once p WHERE p.incident_id = o.incident_id AND p.strategy < o.strategy) AS n FROM once o)

@@ -180,14 +180,14 @@ def remediation_by_target(spark, d):
 
 def remediation_neighbours(spark, d):
     t = _t(spark, d)
-    return remediation.neighbours(t.signals.select("incident_id", "sig_ts", "node"), t.edges, context.topology_remediations(t))
+    return remediation.neighbours(t.signals.select("incident_id", "sig_ts", "node"), t.edges, context.topology_remediations(t)).withColumn("confidence", F.round("confidence", 6))
 
 
 def remediation_suggestions(spark, d):
     t = _t(spark, d)
     p, rem, sig = _prints(t), context.topology_remediations(t), t.signals.select("incident_id", "sig_ts", "node")
     m = _similar(t, p).join(sig.select("incident_id", "sig_ts"), "incident_id")
-    return remediation.suggest(remediation.by_incident(m, rem), remediation.by_target(sig, rem), remediation.neighbours(sig, t.edges, rem))
+    return remediation.suggest(remediation.by_incident(m, rem), remediation.by_target(sig, rem), remediation.neighbours(sig, t.edges, rem)).withColumn("confidence", F.round("confidence", 6))
 
 
 def causal_graph_pairs(spark, d):
