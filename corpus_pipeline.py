@@ -26,8 +26,8 @@ MIN_SCORE = 0.1
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep texts in a language that the classifier knows."""
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["text"].alias("text"))
-    scored = langid.predict(rows, langid.fit(docs), ["row"])
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    scored = langid.predict(rows, langid.fit(docs), ["row"], inside="row")
     return scored.filter((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= MIN_SCORE)).select("row.*")
 
 

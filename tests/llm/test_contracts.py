@@ -353,3 +353,22 @@ def test_pipeline_on_an_empty_table(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SMALL)
         assert docs.count() == 0
+
+
+def test_language_stage_sends_texts_once_and_few_at_a_time(spark):
+    """What an executor holds of a batch outside the heap is bounded by rows, and no text goes to Python twice."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    docs = spark.createDataFrame([(i, "the cat sat on the mat" if i % 2 else "le chat est sur le tapis", "en" if i % 2 else "fr", "s", 1) for i in range(40)] + [(40, None, None, "s", 1)], "doc_id long, text string, lang string, source string, score int")
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "10000")
+        out = corpus_pipeline.language(spark, docs, "")
+        assert sorted(map(tuple, out.collect())) == sorted(map(tuple, docs.filter("text is not null").collect()))
+        assert int(spark.conf.get(key)) == 1024
+        sent = next(x for x in out._jdf.queryExecution().analyzed().toString().splitlines() if "Project" in x and "AS _letter" in x)
+        assert "AS _text" not in sent
+        spark.conf.set(key, "7")
+        langid.predict(docs, None, ["doc_id"]).collect()
+        assert spark.conf.get(key) == "7"
+    finally:
+        spark.conf.set(key, before)

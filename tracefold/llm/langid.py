@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import flat
-from .store import table
+from .store import small_batches, table
 
 SLOT_BITS = 14
 SLOTS = 1 << SLOT_BITS
@@ -152,6 +152,7 @@ def _sample(docs: DataFrame) -> list:
 
 def fit(docs: DataFrame) -> Model | None:
     """Learn from text and lang of the rows that are not held out."""
+    small_batches(docs.sparkSession)
     rows = _sample(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "lang", "text"))
     if not rows:
         return None
@@ -168,8 +169,12 @@ def fit(docs: DataFrame) -> Model | None:
     return model
 
 
-def predict(docs: DataFrame, model: Model | None, keep: list[str] | None = None) -> DataFrame:
-    """The ``keep`` columns of every row (all, if not given) with lang_pred and score; only ``text`` is looked at to predict."""
+def predict(docs: DataFrame, model: Model | None, keep: list[str] | None = None, inside: str | None = None) -> DataFrame:
+    """The ``keep`` columns of every row (all, if not given) with lang_pred and score; only ``text`` is looked at to predict.
+
+    ``inside`` names a struct column of ``keep`` that holds the text, which then goes to Python once, not twice.
+    """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
 
@@ -180,17 +185,19 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str] | None = None)
             langs, scores = [UNDETERMINED] * len(letter), [0.0] * len(letter)
             if m is not None:
                 at = 0
-                for flags in presence(b.column(1)):
+                for flags in presence(b.column(1) if inside is None else b.column(1 + keep.index(inside)).field("text")):
                     s = m.scores(flags)
                     best = s.argmax(1)
                     for i, (j, v) in enumerate(zip(best.tolist(), s[np.arange(len(s)), best].tolist(), strict=True)):
                         if letter[at + i]:
                             langs[at + i], scores[at + i] = m.langs[j], min(1.0, max(0.0, v))
                     at += len(flags)
-            yield pa.RecordBatch.from_arrays([*b.columns[2:], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[first:], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*keep, "lang_pred", "score"])
 
-    letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    rows = docs.select(letter.alias("_letter"), F.col("text").alias("_text"), *keep)
+    text = F.col("text") if inside is None else F.col(inside)["text"]
+    letter = F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
+    first = 1 if inside else 2
+    rows = docs.select(letter.alias("_letter"), *[text.alias("_text")][: first - 1], *keep)
     schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return rows.mapInArrow(score, schema)
 
