@@ -82,3 +82,32 @@ def test_chains_are_closed_within_an_incident(spark):
                 want[i, a, d] = max(want.get((i, a, d), 0), round(min(c, e) * 0.8, 3))
     assert {(int(r["incident_id"][4:]), r["cause"], r["effect"]): r["confidence"] for r in out.collect()} == want
     assert "Join" not in _plan(out)
+
+
+def test_fingerprints_of_windows_equal_those_of_their_events(spark):
+    """Also on the windows' edges, with events at the same time, odd characters, and the trigger under one name only."""
+    rng = random.Random(5)
+    at = lambda s: f"2024-01-02 {s // 3600:02d}:{s // 60 % 60:02d}:{s % 60:02d}"
+    labels = ["deploy", 'a"],["b', "back\\slash", "tab\t\x01", "é\U0001f600|"]
+    times = [*range(0, 36000, 300), *(rng.randrange(36000) for _ in range(500))]
+    ev = spark.createDataFrame([(i, at(s), rng.choice(["n0", "n1", "n2", None]), rng.choice(["x", "y", None]), rng.choice(labels)) for i, s in enumerate(times)], "event_id long, ts string, node string, service string, label string").withColumn("ts", F.to_timestamp_ntz("ts"))
+    rows = [(f"INC-{i}", at(s), "n0", node, role, service) for i, (s, service) in enumerate([(0, "x"), (7200, "y"), (20000, "x"), (20001, None), (35999, "y"), (300, "x")]) for node, role in (("n0", "trigger"), ("n1", "upstream-1"), ("n3", "downstream-1"), ("n2", "downstream-2"))]
+    scope = spark.createDataFrame(rows, "incident_id string, sig_ts string, trigger_node string, node string, role string, sig_service string").withColumn("sig_ts", F.to_timestamp_ntz("sig_ts"))
+    got = lambda df: sorted(map(tuple, df.select("incident_id", "trigger_node", "sig_ts", "n_elements", "fp_json", "fp_hash").collect()))
+    for before, after, bucket in ((360, 60, 60), (30, 5, 5), (35, 7, 10), (60, 5, 2)):
+        seen = incidents.window_events(scope, ev, before, after)
+        plain = lambda x: got(incidents.fingerprints(incidents.fingerprint_elements(x, bucket)))  # noqa: E731, B023
+        named = seen.filter((F.col("node") != F.col("trigger_node")) | (F.col("service") == F.col("sig_service")))
+        assert got(incidents.window_fingerprints(scope.drop("sig_service"), ev, before, after, bucket)) == plain(seen)
+        assert got(incidents.window_fingerprints(scope, ev, before, after, bucket)) == plain(named)
+
+
+def test_one_edit_leaves_a_half():
+    import numpy as np
+    import pyarrow as pa
+
+    texts = [list(t) for t in {tuple(t) for t in _some(6, 80, 2, [4, 5, 6, 7])}]
+    row, key = sequences.half_keys(pa.array([[hash(x) for x in t] for t in texts], pa.list_(pa.int64())), np.zeros(len(texts), np.uint64))
+    held = [set(key[row == i].tolist()) for i in range(len(texts))]
+    assert all(held[i] & held[j] for i, a in enumerate(texts) for j, b in enumerate(texts) if i != j and _edits(a, b) == 1)
+    assert not all(held[i] & held[j] for i in range(len(texts)) for j in range(len(texts)))
