@@ -111,3 +111,15 @@ def test_one_edit_leaves_a_half():
     held = [set(key[row == i].tolist()) for i in range(len(texts))]
     assert all(held[i] & held[j] for i, a in enumerate(texts) for j, b in enumerate(texts) if i != j and _edits(a, b) == 1)
     assert not all(held[i] & held[j] for i in range(len(texts)) for j in range(len(texts)))
+
+
+def test_stored_codes_are_those_of_the_text(spark):
+    """Families and matches read them instead of the texts, which at size do not fit beside the rest; both must be the same hashes."""
+    ev = [(i, f"2024-01-02 0{i % 9}:{i:02d}:00", "n0", "x", label) for i, label in enumerate(['a"],["b', "back\\slash", "é\U0001f600|", "", "x" * 5, "y" * 33, "z" * 64, "w" * 90])]
+    ev = spark.createDataFrame(ev, "event_id long, ts string, node string, service string, label string").withColumn("ts", F.to_timestamp_ntz("ts"))
+    scope = spark.createDataFrame([(f"INC-{h}", f"2024-01-02 0{h}:30:00", "n0", "n0", "trigger") for h in (2, 5, 8)], "incident_id string, sig_ts string, trigger_node string, node string, role string").withColumn("sig_ts", F.to_timestamp_ntz("sig_ts"))
+    prints = incidents.window_fingerprints(scope, ev, 360, 60, 60)
+    bare = prints.drop("codes")
+    both = prints.join(bare.select("incident_id", incidents._codes(bare).alias("cut")), "incident_id").select("n_elements", "codes", "cut").collect()
+    assert len(both) == 3 and all(r["codes"] == r["cut"] and len(r["codes"]) == r["n_elements"] for r in both)
+    assert incidents._codes(prints)._jc.toString() == "codes"

@@ -99,7 +99,7 @@ class Engine:
         history = written(context.topology_remediations(t), "remediations")
         self.store.publish("nodes", self.nodes())
         self.store.publish("edges", t.edges)
-        self.store.publish("patterns", past.join(fam.select("incident_id", "family"), "incident_id"))
+        self.store.publish("patterns", past.drop("codes").join(fam.select("incident_id", "family"), "incident_id"))
         strong = remediation.reinforcement(history.filter("linked"), fam).select("family", "reinforced")
         sizes = fam.groupBy("family").agg(F.max("incident_count").alias("incident_count"))
         first = incidents.representatives(past, fam).join(sizes, "family").join(strong, "family", "left")
