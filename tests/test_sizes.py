@@ -123,3 +123,45 @@ def test_stored_codes_are_those_of_the_text(spark):
     both = prints.join(bare.select("incident_id", incidents._codes(bare).alias("cut")), "incident_id").select("n_elements", "codes", "cut").collect()
     assert len(both) == 3 and all(r["codes"] == r["cut"] and len(r["codes"]) == r["n_elements"] for r in both)
     assert incidents._codes(prints)._jc.toString() == "codes"
+
+
+def _window(spark):
+    rng = random.Random(7)
+    at = lambda s: f"2024-01-02 {s // 3600:02d}:{s // 60 % 60:02d}:{s % 60:02d}"
+    ev = spark.createDataFrame([(i, at(rng.randrange(36000) // 7 * 7), rng.choice(["n0", "n1", None])) for i in range(1500)], "event_id long, ts string, node string").withColumn("ts", F.to_timestamp_ntz("ts"))
+    asks = [("A", 20001, "n0"), ("A", 20001, "n1"), ("B", 600, "n0"), ("C", 35999, "n1"), ("D", 7200, "n0"), ("D", 28800, "n1")]
+    scope = spark.createDataFrame([(i, at(s), node) for i, s, node in asks], "incident_id string, sig_ts string, node string").withColumn("sig_ts", F.to_timestamp_ntz("sig_ts"))
+    return scope, ev
+
+
+def test_newest_events_are_those_of_the_whole_window(spark):
+    """Also where one incident has two signals; what is older than enough newer slots is not joined."""
+    scope, ev = _window(spark)
+    rows = lambda df: sorted(map(tuple, df.select("incident_id", "rank", "event_id", "node", "ts").collect()))
+    for limit in (1, 20, 5000):
+        every, newest = incidents.window_events(scope, ev, 360, 60), incidents.newest_window_events(scope, ev, 360, 60, limit)
+        assert rows(causal.ranked(newest, limit)) == rows(causal.ranked(every, limit))
+        assert newest.count() <= every.count() if limit == 5000 else newest.count() < every.count() / 2
+
+
+def test_best_pairs_equal_those_of_all_pairs(spark):
+    """No pair of events is a row of the plan, and the best of all pairs is kept, ties by rank."""
+    rng = random.Random(8)
+    rows, want = [], {}
+    for inc in ("A", "B"):
+        for r in range(1, 41):
+            kind, ts, node = rng.choice(["deploy", "log", "remediation"]), rng.randrange(40), rng.choice(["n0", "n1", "n2"])
+            rows.append((inc, "n0", "2024-01-02 00:20:00", r, f"2024-01-02 00:{ts:02d}:00", kind, node, node, None, None, rng.choice(["error", "info"]), None, r))
+    ev = spark.createDataFrame(rows, "incident_id string, trigger_node string, sig_ts string, event_id long, ts string, kind string, node string, service string, name string, value double, level string, trace_id string, rank int")
+    ev = ev.withColumn("ts", F.to_timestamp_ntz("ts")).withColumn("sig_ts", F.to_timestamp_ntz("sig_ts"))
+    edges = spark.createDataFrame([("n0", "n1", None), ("n1", "n2", None), ("n2", "n0", "2024-01-02 00:10:00")], "src string, dst string, valid_to string").withColumn("valid_from", F.to_timestamp_ntz(F.lit("2024-01-01 00:00:00"))).withColumn("valid_to", F.to_timestamp_ntz("valid_to"))
+    sev = lambda r: {"deploy": 0.5, "remediation": 0.1}.get(r[5], 0.8 if r[10] == "error" else 0.2)
+    for a in rows:
+        for b in rows:
+            gap = int(b[4][14:16]) - int(a[4][14:16])
+            if a[0] == b[0] and (a[6], b[6]) in (("n0", "n1"), ("n1", "n2")) and -1 <= gap <= 15:
+                c = min(0.95, 0.3 + 0.3 * max(0.0, 1.0 - abs(gap) / 15.0) + 0.2 * ((sev(a) + sev(b)) / 2.0) + 0.1 + (0.1 if a[6] == "n0" else 0.0))
+                want.setdefault((a[0], a[6]), []).append((-c, a[3], b[3]))
+    pairs = causal.graph_pairs(ev, edges)
+    assert _plan(pairs).count("Join") == 1
+    assert {(r["incident_id"], r["cause"], r["effect"], r["confidence"]) for r in pairs.collect()} == {(i, a, b, -c) for (i, _), (c, a, b) in ((k, min(v)) for k, v in want.items())}
