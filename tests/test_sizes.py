@@ -165,3 +165,53 @@ def test_best_pairs_equal_those_of_all_pairs(spark):
     pairs = causal.graph_pairs(ev, edges)
     assert _plan(pairs).count("Join") == 1
     assert {(r["incident_id"], r["cause"], r["effect"], r["confidence"]) for r in pairs.collect()} == {(i, a, b, -c) for (i, _), (c, a, b) in ((k, min(v)) for k, v in want.items())}
+
+
+def _every(scope, ev):
+    """All events of the windows, numbered by time, whatever their number."""
+    return causal.ranked(incidents.window_events(scope, ev, 360, 60), 1 << 30)
+
+
+def test_deep_chain_takes_all_events_of_a_window(spark, tmp_path):
+    """The query's chain may rest on the oldest events of a window that has more than a context keeps."""
+    from tracefold import queries
+    from tracefold.operators import topology
+
+    rng = random.Random(9)
+    rows = [(i, f"2024-01-12 0{2 + i // 90}:{i % 90 * 2 // 3:02d}:{rng.randrange(60):02d}", rng.randrange(4), rng.choice(["view", "click", "signup", "error", "purchase"]), rng.random() * 400) for i in range(1, 400)]
+    rows += [(400, "2024-01-12 06:00:00", 1, "error", 1.0), (440, "2024-01-12 07:00:00", 2, "error", 1.0)]
+    made = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double").withColumn("ts", F.to_timestamp_ntz("ts"))
+    made.write.parquet(f"{tmp_path}/events.parquet")
+    t = queries._t(spark, str(tmp_path))
+    every = _every(topology.neighbourhood(t.signals, t.edges, 2), t.events)
+    assert every.groupBy("incident_id").count().agg(F.max("count")).first()[0] > 200
+    rows = lambda df: sorted(map(tuple, df.select("incident_id", "rank", "cause", "effect", "confidence", "evidence").collect()))
+    got = rows(queries.causal_chain_deep(spark, str(tmp_path)))
+    assert len(got) >= 30 and got == rows(causal.causal_chain(every, t.edges, 15, True))
+
+
+def test_deep_chains_in_blocks_equal_those_of_joins(spark, monkeypatch):
+    """Traces, all rules, edges that ended or have other kinds, equal times, an incident with two signals, windows across blocks, steps in parts."""
+    rng = random.Random(10)
+    rows = []
+    for i in range(700):
+        kind, node = rng.choice(["deploy", "log", "metric", "remediation"]), rng.choice(["n0", "n1", "n2", "n3", None])
+        s = rng.randrange(8 * 3600) // 5 * 5
+        rows.append((i, f"2024-01-02 {s // 3600:02d}:{s // 60 % 60:02d}:{s % 60:02d}", kind, node, rng.choice([node, None]), "error_rate", rng.random() * 9, rng.choice(["ERROR", "info", None]), rng.choice(["", None, None, f"t{rng.randrange(60)}"])))
+    ev = spark.createDataFrame(rows, "event_id long, ts string, kind string, node string, service string, name string, value double, level string, trace_id string").withColumn("ts", F.to_timestamp_ntz("ts"))
+    asks = [("A", "06:00:01", "n0"), ("B", "00:00:00", "n1"), ("C", "07:30:00", "n2"), ("C", "02:00:00", "n0"), ("D", "23:00:00", "n0"), ("E", "07:00:00", "n3")]
+    scope = spark.createDataFrame([(i, f"2024-01-02 {at}", trigger, node) for i, at, trigger in asks for node in ("n0", "n1", "n2", "n3")[: 3 if trigger != "n3" else 4]], "incident_id string, sig_ts string, trigger_node string, node string").withColumn("sig_ts", F.to_timestamp_ntz("sig_ts"))
+    edges = [("n0", "n1", "calls", "2023-01-01", None), ("n0", "n1", None, "2023-01-02", None), ("n1", "n2", "error_propagation", "2023-01-01", None), ("n2", "n0", "dependency", "2023-01-01", "2024-01-02 06:30:00"), ("n3", "n3", "other", "2023-01-01", None)]
+    edges = spark.createDataFrame(edges, "src string, dst string, kind string, valid_from string, valid_to string").withColumn("valid_from", F.to_timestamp_ntz("valid_from")).withColumn("valid_to", F.to_timestamp_ntz("valid_to"))
+    rows = lambda df: sorted(map(tuple, df.select("incident_id", "rank", "cause", "effect", "confidence", F.coalesce("evidence", F.lit("null"))).collect()))
+    want = rows(causal.causal_chain(_every(scope, ev), edges, 40, True))
+    assert {w[0] for w in want} == {"A", "B", "C", "E"} and len({w[5].split("_id ")[0].split(":")[0] for w in want}) > 3
+    assert rows(causal.deep_chain(scope, ev, edges, 360, 60, 40)) == want
+    import numpy as np
+
+    x, y, c = np.array([3, 0, 1, 0, 1, 4]), np.array([4, 1, 2, 2, 3, 0]), np.array([0.5, 0.6, 0.7, 0.8, 0.8, 0.95])
+    whole = causal._closed(x, y, c, 5)
+    for n in (1, 2, 3):
+        monkeypatch.setattr(causal, "_STEPS", n)
+        assert all((p == q).all() for p, q in zip(causal._closed(x, y, c, 5), whole, strict=True))
+    assert {(int(a), int(b)): float(s) for a, b, s in zip(*whole, strict=True)} == {(0, 3): 0.6 * 0.8, (1, 4): 0.5 * 0.8, (3, 0): 0.5 * 0.8, (4, 1): 0.6 * 0.8, (4, 2): 0.8 * 0.8}
