@@ -215,3 +215,30 @@ def test_deep_chains_in_blocks_equal_those_of_joins(spark, monkeypatch):
         monkeypatch.setattr(causal, "_STEPS", n)
         assert all((p == q).all() for p, q in zip(causal._closed(x, y, c, 5), whole, strict=True))
     assert {(int(a), int(b)): float(s) for a, b, s in zip(*whole, strict=True)} == {(0, 3): 0.6 * 0.8, (1, 4): 0.5 * 0.8, (3, 0): 0.5 * 0.8, (4, 1): 0.6 * 0.8, (4, 2): 0.8 * 0.8}
+
+
+def test_blocks_of_pairs_meet_once(spark, monkeypatch):
+    """Every pair once, the lesser hash first; every cell is a task of its own, so none waits for several."""
+    import numpy as np
+
+    monkeypatch.setattr(incidents, "_OWN_ROWS", 40)
+    texts = [t for t in {tuple(t) for t in _some(11, 170, 4, [1, 3, 6, 9, 70])}]
+    prints = _prints(spark, texts)
+    of = dict(map(tuple, prints.select("incident_id", "fp_hash").collect()))
+    want = {}
+    # repeats in a row stay: the elements are given as they are
+    for i, s in enumerate(texts):
+        for j, t in enumerate(texts):
+            a, b = of[f"INC-{i:03d}"], of[f"INC-{j:03d}"]
+            inter = sum(min(s.count(x), t.count(x)) for x in set(s))
+            if a < b and inter:
+                d = _edits(s, t) if max(len(s), len(t)) < 20 else None
+                want[a, b] = (inter / (len(s) + len(t) - inter), d)
+    got = incidents.pair_scores(prints)
+    rows = got.select("*", F.spark_partition_id().alias("task")).collect()
+    assert len(rows) == len(want) and {(r["a"], r["b"]) for r in rows} == set(want)
+    assert all(r["jaccard"] == want[r["a"], r["b"]][0] and want[r["a"], r["b"]][1] in (None, r["distance"]) for r in rows)
+    blocks = -(-len(texts) // 40)
+    n = np.bincount([r["task"] for r in rows])
+    assert len(n) == blocks * (blocks + 1) // 2 and n.min() > 0
+    assert incidents.pair_scores(prints.limit(0)).count() == 0 and incidents.pair_scores(prints.limit(1)).count() == 0
